@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 from .common import scratch, text_or_empty, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stream. A state store of a few rows would otherwise reserve megabytes of disk.
+STREAM = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: Identifiers of hits up to which they are broadcast to the texts (8 bytes each); beyond it texts are shuffled by identifier.
+BROADCAST_IDS = 1_000_000
 #: Copies of one text that one task compares at most; larger groups are salted.
 GROUP_ROWS = 1000
 
@@ -52,8 +58,9 @@ def fold(spark: SparkSession, source: str, checkpoint: str, schema, files_per_tr
     restart after a failure goes on from the last committed micro-batch.
     Returns digest, keep_id, keep_row, locator, group_size.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STREAM}
+    for k, v in STREAM.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
         # nulls order first in a struct, so a null id is moved behind all others
@@ -65,7 +72,8 @@ def fold(spark: SparkSession, source: str, checkpoint: str, schema, files_per_tr
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     stored = spark.read.format("statestore").load(checkpoint)
     first, count = (f"value.{name}" for name in stored.schema["value"].dataType.names)
     return stored.select(
@@ -103,11 +111,12 @@ def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     state = fold(spark, prints, scratch(spark, "dedup-state"), rows.schema)
     grouped = written(rows.join(state, "digest"), "dedup-groups")
     hits = grouped.where("group_size > 1")
-    if not hits.isEmpty():
+    if n_hits := hits.count():
         wanted = hits.select(F.col("doc_id").alias("hit_id")).distinct()
+        wanted = F.broadcast(wanted) if n_hits <= BROADCAST_IDS else wanted.hint("shuffle_hash")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"))
-        texts = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
-        texts = texts.select("doc_id", F.sha2("norm", 256).alias("digest"), "norm")
+        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+        texts = written(texts.select("doc_id", F.sha2("norm", 256).alias("digest"), "norm"), "dedup-hits")
         groups = hits.where("row_id = keep_row").select(
             "digest", "keep_id", F.ceil(F.col("group_size") / GROUP_ROWS).cast("int").alias("salts")
         )
