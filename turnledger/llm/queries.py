@@ -9,6 +9,7 @@ from . import sql
 from .bpe import encoded
 from .common import table
 from .exact_dedup import exact_groups
+from .minhash import near_groups
 from .mixing import taken_words
 from .quality_rules import quality_rules
 from .token_counts import token_counts
@@ -37,5 +38,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark, table(spark, sf_dir, "documents")).drop("row_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_bpe, op6_exact_dedup, op7_mixing, op8_quality_rules)}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_bpe, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_minhash)}
 ORACLE_SQL = {"op6_exact_dedup": sql.EXACT_DEDUP, "op8_quality_rules": sql.QUALITY_RULES}
