@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import taken_words
 from .quality_rules import quality_rules
+from .repeats import without_repeats
 from .token_counts import token_counts
 
 MAX_TOKENS = 4096
@@ -42,5 +43,9 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_bpe, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_minhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_bpe, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_minhash, op10_suffix_dedup)}
 ORACLE_SQL = {"op6_exact_dedup": sql.EXACT_DEDUP, "op8_quality_rules": sql.QUALITY_RULES}
