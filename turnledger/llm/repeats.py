@@ -49,7 +49,8 @@ CHUNK_SYMBOLS = 60_000
 SHARDS = 4
 #: Contexts of one minimiser that one task merges; above it starts are dealt by their strings.
 HOT_CONTEXTS = 20_000
-BROADCAST_IDS = 1_000_000
+#: Contexts up to which their places are broadcast to the texts (24 bytes each); beyond it texts are shuffled by id.
+BROADCAST_CONTEXTS = 1_000_000
 LAST = (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(10)
@@ -277,7 +278,7 @@ def applied(keep: bool):
             rows = []
             for text, s, n in zip(texts.to_pylist(), starts.to_pylist(), numbers.to_pylist()):
                 if not s:
-                    rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
+                    rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), *[text] * keep))
                     continue
                 edge = np.zeros(len(text) + 1, dtype=np.int64)
                 s = np.array(s)
@@ -286,8 +287,8 @@ def applied(keep: bool):
                 gone = np.cumsum(edge[:-1]) > 0
                 left = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left))
-            columns = [pa.array(x) for x in list(zip(*rows))[: 5 if keep else 4]]
+                rows.append((len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), *[left] * keep))
+            columns = [pa.array(x) for x in zip(*rows)]
             if rows:
                 yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 6 if keep else 5])
 
@@ -334,10 +335,10 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     reps = reps.join(several, "h")
     wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "lo", "n", "place")).alias("wanted"))
     wanted = written(wanted, "repeats-wanted")
-    n = wanted.count()
+    n = wanted.agg(F.sum(F.size("wanted"))).first()[0]
     if not n:
         return whole
-    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS // 50 else wanted.hint("shuffle_hash")
+    wanted = F.broadcast(wanted) if n <= BROADCAST_CONTEXTS else wanted.hint("shuffle_hash")
     cut = texts.select("id", "text").join(wanted, "id").mapInArrow(cut_out, CUT)
     hot = written(several.where(F.col("contexts") > HOT_CONTEXTS).select(F.col("h").alias("hot")), "repeats-hot")
     some_hot = not hot.isEmpty()
