@@ -11,22 +11,37 @@ from .common import table
 from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import taken_words
+from .quality_fm import quality
 from .quality_rules import quality_rules
 from .repeats import without_repeats
+from .secrets import secret_scan
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 MAX_TOKENS = 4096
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", counts["n_tokens"] > MAX_TOKENS)
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark, table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -47,5 +62,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_bpe, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_minhash, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_token_counts, op3_quality_fm, op4_bpe, op5_toxicity, op6_exact_dedup, op7_mixing, op8_quality_rules, op9_minhash,
+        op10_suffix_dedup,
+    )
+}
 ORACLE_SQL = {"op6_exact_dedup": sql.EXACT_DEDUP, "op8_quality_rules": sql.QUALITY_RULES}
