@@ -61,3 +61,9 @@ def text_or_empty(column: str = "text") -> Column:
 def held_out(column: str = "doc_id", folds: int = 5) -> Column:
     """True for the rows that no classifier may learn from; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds == 0
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Bounds the Arrow batches that Python workers get by rows and bytes, as a row here is a whole document."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

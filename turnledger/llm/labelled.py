@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .minhash import Shingler
 
 #: Labelled rows that a classifier is fitted on at most, give or take a sampling error; more are sampled by a hash of doc_id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 16_000
 FOLDS = 5
 _SEED = 77
 
@@ -54,17 +55,27 @@ def sampled(labels: DataFrame, label: str, most: int = MAX_LABELLED) -> DataFram
     return own
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, features: Callable, schema: str, most: int = MAX_LABELLED) -> pd.DataFrame:
-    """Features of the sampled rows, taken on the executors; only these, a bounded number of rows, come to the driver.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, features: Callable, schema: str, fit: Callable, most: int = MAX_LABELLED):
+    """What ``fit`` makes of the features of the sampled rows.
 
-    ``features`` maps batches of (label_id, label, text as bytes, n_chars) to
-    ``schema``. The rows are in the order of label_id, so fits agree.
+    ``features`` maps batches of (label_id, label, text as bytes) to ``schema``
+    where the texts are; ``fit`` runs in one task, which a bounded number of
+    rows reaches, in the order of label_id, so fits agree. Only the model comes
+    to the driver.
     """
+    small_batches(docs.sparkSession)
     chosen = F.broadcast(sampled(labels, label, most))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), text).join(chosen, "label_id")
-    found = rows.select("label_id", "label", "text").mapInArrow(features, schema).toPandas()
-    return found.sort_values("label_id", kind="stable").drop_duplicates("label_id").reset_index(drop=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            pdf = pa.Table.from_batches(held).to_pandas().sort_values("label_id", kind="stable").drop_duplicates("label_id").reset_index(drop=True)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pdf))], pa.binary())], names=["model"])
+
+    found = rows.select("label_id", "label", "text").mapInArrow(features, schema).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit(pd.DataFrame({name.split()[0]: [] for name in schema.split(", ")}))
 
 
 def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshold: float, step: int = 1 << 20) -> DataFrame:
@@ -85,6 +96,7 @@ def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshol
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds=FOLDS).alias("held_out"), text)
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

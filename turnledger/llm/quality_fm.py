@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .labelled import MAX_LABELLED, Words, examples, scored, sums
+from .labelled import MAX_LABELLED, Words, fitted, scored, sums
 
 WORD_BITS = 16
 BINS = 24
@@ -135,5 +135,5 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, thresh
     of its bins. Without labels every score is 0.5. Repeated rows are scored
     each; other columns are not looked at.
     """
-    rows = examples(docs, labels, "quality", featured, "label_id long, label int, columns array<int>, values array<float>", most)
-    return scored(docs, fit(rows), threshold)
+    machine = fitted(docs, labels, "quality", featured, "label_id long, label int, columns array<int>, values array<float>", fit, most)
+    return scored(docs, machine, threshold)

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .labelled import MAX_LABELLED, Words, examples, scored, sums
+from .labelled import MAX_LABELLED, Words, fitted, scored, sums
 
 #: Families of identity terms; a term is swapped for the others of its family, and for NEUTRAL.
 FAMILIES = (
@@ -199,5 +199,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, thres
     score of the bias. Without labels every score is 0.5. Repeated rows are
     scored each; other columns are not looked at.
     """
-    rows = examples(docs, labels, "toxic", featured, "label_id long, label int, words array<long>", most)
-    return scored(docs, fit_words(rows), threshold)
+    model = fitted(docs, labels, "toxic", featured, "label_id long, label int, words array<long>", fit_words, most)
+    return scored(docs, model, threshold)
