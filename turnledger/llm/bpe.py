@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SHORT = 48
 #: Text that one step holds as words; a batch of larger texts is taken in several steps.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 NONE = np.iinfo(np.int32).max
 ENCODED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -278,5 +280,6 @@ def encoded(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
                     columns += [pa.array([ids[a:b].astype(np.int64) for a, b in zip(begins, ends)], pa.list_(pa.int64())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return own.mapInArrow(run, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 from .components import components
 
 SHINGLE = 5
@@ -311,6 +311,7 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     component_id, and is kept. An empty table gives an empty result; other
     columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(signed, SIGNED)
     rows = written(rows, "near-signed")

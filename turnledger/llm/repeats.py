@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 LENGTH = 100
 GRAM = 37
@@ -359,6 +359,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, keep_text: bool = Fals
     come last. An empty table gives an empty result; other columns are not
     looked at.
     """
+    small_batches(docs.sparkSession)
     texts = identified(docs)
     runs = repeated_runs(texts).groupBy(F.col("id").alias("run_id")).agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
     out = texts.join(runs.hint("shuffle_hash"), F.col("id") == F.col("run_id"), "left").select("doc_id", "text", "s", "n")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Characters from which a text is split, and bytes that one call encodes.
 SPLIT_CHARS = 16_384
 CALL_BYTES = 1 << 20
@@ -88,6 +90,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
                 [batch.column(0), batch.column(2), pa.array(counted(model, texts), pa.int64())], names=TOKENS.names
             )
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     return own.mapInArrow(count, TOKENS)
