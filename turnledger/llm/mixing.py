@@ -22,6 +22,7 @@ works on one number a source.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ MAX_REPEATS = 2
 SHARDS = 16
 SEED = 20240501
 MIN_BLOCKS = 1024
+#: Words in a partition of the written mix, about 30 MB of text.
+PART_WORDS = 5_000_000
 
 
 def n_words(column: str = "text") -> Column:
@@ -201,17 +204,22 @@ def taken_words(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are drawn, a partition a shard, shuffled in each.
+def mixed(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, part_words: int = PART_WORDS, **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are drawn, dealt by shard, shuffled in each.
 
     Uses are brought to documents by doc_id, so a table that repeats doc_ids
-    has its repeated rows taken as one document.
+    has its repeated rows taken as one document. A shard of more than about
+    ``part_words`` words is written in several parts, so partitions keep their
+    size however large the mix is.
     """
     columns = docs.columns
     rows, uses = mix(spark, docs, shards=shards, **options)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    slices = max(1, math.ceil(total * SHARE / part_words / shards))
     drawn = rows.select("row_id", "doc_id").join(uses, "row_id")
     drawn = drawn.groupBy("doc_id", "epoch").agg(F.min(F.struct("shard", "order_key")).alias("use"))
     drawn = drawn.select(F.col("doc_id").alias("use_id"), "use")
     own = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].cast("long").alias("use_id_"))
     out = own.join(drawn, F.col("use_id_").eqNullSafe(F.col("use_id"))).select("row", "use.shard", "use.order_key")
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", "order_key").select("row.*")
+    out = out.withColumn("slice", F.pmod(F.col("order_key"), F.lit(slices)).cast("int"))
+    return out.repartition(shards * slices, "shard", "slice").sortWithinPartitions("shard", "slice", "order_key").select("row.*")
