@@ -1,0 +1 @@
+"""Long-term conversational memory as DataFrame operators."""

@@ -1,0 +1,80 @@
+"""The model stage: prompts, a pluggable provider, and validation of its answers."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASK = (
+    "Read the message of a user and list what is worth remembering about them as a JSON array of objects with "
+    "type (preference, constraint, entity, instruction, commitment, fact or event), key, value, confidence (0 to 1), "
+    "is_update and reasoning. Answer [] if there is nothing.\n\nContext:\n"
+)
+LIMITED = ("429", "rate_limit", "too many requests")
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    """Adds the prompt to rows with context, text and hint (the first type that patterns found, or null)."""
+    hint = F.when(F.col("hint").isNotNull(), F.concat(F.lit("\n\nHINT: "), F.col("hint"))).otherwise(F.lit(""))
+    return rows.withColumn("prompt", F.concat(F.lit(ASK), F.col("context"), F.lit("\n\nMessage:\n"), F.col("text"), hint))
+
+
+def answered(rows: DataFrame, make: Callable[[], Callable[[str, int], str]] | None, keys: int = 1, retries: int = 1) -> DataFrame:
+    """Adds the provider's answer to rows (user_id, turn_number, prompt).
+
+    ``make`` builds the provider once a task; it is called with the prompt and
+    the number of the key to use, which moves on when a limit is hit. Other
+    errors, and limits past the retries, leave a null answer. Without a
+    provider there are no answers.
+    """
+    if make is None:
+        return rows.withColumn("answer", F.lit(None).cast("string"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, key = make(), 0
+        for frame in frames:
+            out = []
+            for prompt in frame["prompt"]:
+                answer = None
+                for attempt in range(max(retries + 1, keys)):
+                    try:
+                        answer = call(prompt, key)
+                        break
+                    except Exception as error:  # noqa: BLE001
+                        if not any(x in str(error).lower() for x in LIMITED):
+                            break
+                        key = (key + 1) % keys
+                        time.sleep(0.01 * attempt)
+                out.append(answer)
+            yield frame.assign(answer=out)
+
+    return rows.select("user_id", "turn_number", "prompt").mapInPandas(run, "user_id long, turn_number int, prompt string, answer string")
+
+
+def parsed(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """Items of the answers (user_id, turn_number, answer), one row each, with stage 3 ids by their order.
+
+    Fences around the JSON go. An answer that is no array gives nothing; an
+    item without one of type, key, value and confidence is left out; a
+    confidence that is no number voids its whole answer.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.trim(F.col(answer)), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    items = F.expr("try_cast(__v AS ARRAY<VARIANT>)")
+    own = rows.withColumn("__v", F.try_parse_json(body)).withColumn("__items", items).where(F.col("__items").isNotNull())
+    there = lambda x, k: F.try_variant_get(x, f"$.{k}", "variant").isNotNull()
+    full = F.filter("__items", lambda x: there(x, "type") & there(x, "key") & there(x, "value") & there(x, "confidence"))
+    own = own.withColumn("__full", full)
+    sure: Callable[[Column], Column] = lambda x: F.try_variant_get(x, "$.confidence", "double")
+    own = own.where(F.forall("__full", lambda x: sure(x).isNotNull()))
+    rows_ = own.select(*[c for c in rows.columns if c != answer], F.posexplode("__full").alias("i", "x"))
+    get = lambda k: F.try_variant_get(F.col("x"), f"$.{k}", "string")
+    return rows_.select(
+        *[c for c in rows.columns if c != answer], F.concat(F.lit("mem_"), F.col("turn_number").cast("string"), F.lit("_"), F.col("i").cast("string")).alias("memory_id"),
+        get("type").alias("type"), get("key").alias("key"), get("value").alias("value"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure(F.col("x")))).alias("confidence"),
+        F.coalesce(F.try_variant_get(F.col("x"), "$.is_update", "boolean"), F.lit(False)).alias("is_update"),
+    )

@@ -1,0 +1,114 @@
+"""Replay turn by turn: what depends on earlier turns, as a fold over each scope.
+
+The decision for each memory is in ``step``: semantic duplicates first, then
+the key. The batch form folds each scope's arrivals in order; the streaming
+form keeps the same state in RocksDB between micro-batches.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..settings import DEFAULT, Settings
+
+MEMORY = "user_id long, type string, key string, memory_id string, value string, confidence double, mention_count int, recency_ts double, superseded_by string"
+
+
+def boost(row: dict, settings: Settings) -> None:
+    row["confidence"] = min(row["confidence"] + settings.boost, settings.max_confidence)
+    row["mention_count"] += 1
+
+
+def step(store: dict, keys: dict, new: dict, near: Callable[[dict], str | None], settings: Settings) -> None:
+    """One arrival: a near duplicate is boosted, or superseded by an update; a taken key boosts its owner; else the row is stored."""
+    twin = near(new)
+    if twin and not new["is_update"]:
+        boost(store[twin], settings)
+        return
+    place = (new["type"], new["key"])
+    if new["key"] and place in keys:
+        owner = store[keys[place]]
+        owner["recency_ts"] = new["recency_ts"]
+        boost(owner, settings)
+        return
+    store[new["memory_id"]] = new | {"mention_count": 1, "superseded_by": None}
+    if new["key"]:
+        keys[place] = new["memory_id"]
+    if twin:
+        store[twin]["superseded_by"] = new["memory_id"]
+
+
+def nearest_in(store: dict, embed: Callable[[list[str]], list[list[float]]], settings: Settings) -> Callable[[dict], str | None]:
+    """The nearest stored row of the same type that reaches the threshold; vectors are kept as rows come."""
+    vectors: dict[str, list[float]] = {}
+    text = lambda r: " | ".join(x for x in (r["key"], r["value"], f"type: {r['type']}") if x)
+
+    def near(new: dict) -> str | None:
+        v = embed([text(new)])[0]
+        best, found = settings.dedup_threshold, None
+        for name, w in vectors.items():
+            if name in store and store[name]["type"] == new["type"] and (s := sum(a * b for a, b in zip(v, w))) >= best:
+                best, found = s, name
+        vectors[new["memory_id"]] = v
+        return found
+
+    return near
+
+
+def rows_of(user: int, store: dict) -> pd.DataFrame:
+    columns = [c.split()[0] for c in MEMORY.split(", ")]
+    return pd.DataFrame([{**r, "user_id": user} for r in store.values()], columns=columns)
+
+
+def arrivals_of(arrivals: DataFrame) -> DataFrame:
+    update = F.col("is_update") if "is_update" in arrivals.columns else F.lit(False)
+    return arrivals.select("user_id", "type", "key", "memory_id", "value", "confidence", (F.col("turn_number") * 60.0).alias("recency_ts"), "arrival", update.alias("is_update"))
+
+
+def replayed(arrivals: DataFrame, make_embedder: Callable | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """The store of each scope after its arrivals one by one; without an embedder no row is a semantic duplicate."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        store: dict = {}
+        keys: dict = {}
+        near = nearest_in(store, make_embedder(), settings) if make_embedder else lambda _: None
+        for row in pdf.sort_values("arrival").drop(columns=["arrival"]).to_dict("records"):
+            step(store, keys, row, near, settings)
+        return rows_of(int(pdf["user_id"].iloc[0]), store)
+
+    return arrivals_of(arrivals).groupBy("user_id").applyInPandas(fold, MEMORY)
+
+
+class Store(StatefulProcessor):
+    """Key-deduplicated memories of a scope, in state; emits the rows that a micro-batch changed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getMapState("rows", "type string, key string", "memory_id string, value string, confidence double, mention_count int, recency_ts double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (user,) = key
+        changed = {}
+        every = pd.concat(list(rows)).sort_values("arrival")
+        for r in every.to_dict("records"):
+            place = (r["type"], r["key"] or r["memory_id"])
+            if self.rows.containsKey(place):
+                m, v, c, n, _ = self.rows.getValue(place)
+                row = (m, v, min(c + DEFAULT.boost, DEFAULT.max_confidence), n + 1, r["recency_ts"])
+            else:
+                row = (r["memory_id"], r["value"], r["confidence"], 1, r["recency_ts"])
+            self.rows.updateValue(place, row)
+            changed[place] = row
+        yield pd.DataFrame([(user, t, k, *row, None) for (t, k), row in changed.items()], columns=[c.split()[0] for c in MEMORY.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream(arrivals: DataFrame) -> DataFrame:
+    """The streaming form of the upsert over a streaming ``arrivals``; needs the RocksDB state store."""
+    return arrivals_of(arrivals).groupBy("user_id").transformWithStateInPandas(Store(), MEMORY, "Update", "None")
