@@ -1,0 +1,372 @@
+"""Each operator against brute force, with nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from turnledger.llm import bpe, exact_dedup, minhash, mixing, quality_fm, quality_rules, repeats, secrets, sql, token_counts, toxicity
+from turnledger.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+
+
+def key(value):
+    return (value is None, value)
+
+
+# exact dedup
+
+
+def groups(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")].append(r[0])
+    return by
+
+
+def test_exact_dedup(spark, docs, rows):
+    got = exact_dedup.exact_groups(spark, docs).collect()
+    want = Counter()
+    for norm, ids in groups(rows).items():
+        for i in ids:
+            want[(i, min(ids, key=key), len(ids), hashlib.sha256(norm.encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups(rows))
+    left = exact_dedup.deduplicated(spark, docs)
+    assert left.count() == len(groups(rows)) and left.columns == docs.columns
+    assert exact_dedup.exact_groups(spark, docs.where("false")).count() == 0
+
+
+def test_hot_group_is_salted_and_collisions_are_split(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_IDS", 1)
+    df = spark.createDataFrame([(k, "same text") for k in range(20)] + [(99, "other")], "doc_id long, text string")
+    assert {(r.keep_id, r.group_size) for r in exact_dedup.exact_groups(spark, df).collect()} == {(0, 20), (99, 1)}
+    short = lambda df: df.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.lit("x").alias("digest"), F.lit("").alias("locator"))
+    texts = df.select(F.monotonically_increasing_id().alias("row_id"), exact_dedup.normalised().alias("norm"))
+    split = exact_dedup.regrouped(short(df), texts).collect()
+    assert {(r.keep_id, r.group_size) for r in split} == {(0, 20), (99, 1)}
+
+
+def test_state_goes_on(spark, tmp_path):
+    df = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string")
+    prints = exact_dedup.fingerprints(df)
+    prints.write.parquet(str(tmp_path / "p"))
+    exact_dedup.fold(spark, str(tmp_path / "p"), str(tmp_path / "c"), prints.schema)
+    exact_dedup.fingerprints(spark.createDataFrame([(1, "b"), (7, "c")], "doc_id long, text string")).write.mode("append").parquet(str(tmp_path / "p"))
+    state = exact_dedup.fold(spark, str(tmp_path / "p"), str(tmp_path / "c"), prints.schema).collect()
+    assert sorted((r.keep_id, r.group_size) for r in state) == [(1, 2), (5, 1), (7, 1)]
+
+
+# tokens
+
+
+def test_token_counts(spark, docs, rows):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = Counter((i, len((t or "").encode()), len(model.encode(t or ""))) for i, t, *_ in rows)
+    assert Counter(tuple(r) for r in token_counts.token_counts(docs, PIECES).collect()) == want
+    assert token_counts.token_counts(docs.where("false"), PIECES).count() == 0
+    parts = token_counts.split("ab " * 30_000, 1000)
+    assert len(parts) > 50 and token_counts.counted(model, ["ab " * 30_000, "", "é" * 50_000]).tolist() == [len(model.encode(t)) for t in ("ab " * 30_000, "", "é" * 50_000)]
+
+
+def test_bpe(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        said = library.decode(ids, skip_special_tokens=False)
+        want[(i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())] += 1
+    assert Counter(tuple(r) for r in bpe.encoded(docs, WORDS).collect()) == want
+    assert bpe.encoded(docs.where("false"), WORDS).count() == 0
+    kept = bpe.encoded(docs.where("doc_id = 405"), WORDS, keep=True).first()
+    assert 49407 in kept.ids and kept.decoded == bpe.RankArrayBPE(WORDS).decode(kept.ids)
+
+
+def test_bpe_of_any_characters():
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(WORDS), bpe.RankArrayBPE(WORDS)
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.choice([*range(1, 0x250), *range(0x3A0, 0x3D0), *range(0x600, 0x640), 0x1F600], rng.integers(1, 80)))) for _ in range(300)]
+    ids, ends, decoded = coder.encode(texts)
+    for text, a, b, said in zip(texts, [0, *ends[:-1]], ends, decoded):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids[a:b].tolist() == want and said == library.decode(want, skip_special_tokens=False)
+
+
+# mixing
+
+
+def test_targets(spark):
+    sizes = {"a": 100, "b": 900, "c": 50, None: 400, "d": 0}
+    df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, source_size long, n_docs long")
+    weight = dict(zip(sorted(sizes, key=key), [5, 2, 1, 5, 2]))
+    left, open_, want = 1.5 * sum(sizes.values()), set(sizes), {}
+    while True:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total > 2 * sizes[s]]
+        if not full:
+            want |= {s: left * weight[s] / total for s in open_}
+            break
+        for s in full:
+            want[s] = 2.0 * sizes[s]
+        left -= sum(want[s] for s in full)
+        open_ -= set(full)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_mixing(spark, docs, rows):
+    got = mixing.taken_words(spark, docs).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
+    assert all(r.taken <= 2 * r["size"] and len(r.shards) <= 2 for r in got), [tuple(r) for r in got if len(r.shards) > 2]
+    again = mixing.taken_words(spark, docs.repartition(5)).collect()
+    assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
+    by, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        at = (r.source_size, r.target)
+        by[at] += r.taken
+        largest[at] = max(largest[at], r["size"])
+    # documents are taken whole: half of the largest one is as near as any choice need come
+    assert all(abs(taken - at[1]) <= max(0.02 * at[1] + 1, largest[at] / 2) for at, taken in by.items())
+    assert mixing.taken_words(spark, docs.where("false")).count() == 0
+    assert mixing.mixed(spark, docs.where("false")).count() == 0
+
+
+def test_mixed_rows(spark, unique):
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.taken_words(spark, unique).collect() if r["size"]}
+    rows = mixing.mixed(spark, unique)
+    count = Counter(r.doc_id for r in rows.collect())
+    assert rows.columns == unique.columns and all(count[i] == n for i, n in taken.items())
+
+
+def test_splitting_tree():
+    quotas = np.array([1000, 10, 0, 333])
+    tree = mixing.split_tree(quotas, 7, 3)
+    assert (tree.sum(axis=0) == quotas).all() and (tree >= 0).all() and np.ptp(tree.sum(axis=1)) <= 7
+    assert (tree == mixing.split_tree(quotas, 7, 3)).all()
+
+
+# quality rules
+
+
+def test_quality_rules(spark, unique):
+    own = unique.select("doc_id", "text", "source")
+    con = duckdb.connect()
+    con.register("documents", own.toPandas())
+    limits = {"min_texts": 1, "max_share": 0.0}
+    text = sql.QUALITY_RULES.replace("count(DISTINCT t) > 20", "count(DISTINCT t) > 1").replace("> 0.02 * host_texts", "> 0.0 * host_texts")
+    want = con.sql(text)
+    got = quality_rules.quality_rules(spark, unique, **limits)
+    order = want.columns
+    assert sorted(map(tuple, got.select(order).collect())) == sorted(want.fetchall())
+    assert {r.kept for r in got.collect()} == {True, False} and sum(r.removed_words for r in got.collect()) > 0
+
+
+def test_quality_rules_edges(spark, docs):
+    got = quality_rules.quality_rules(spark, docs).collect()
+    assert len(got) == docs.count() and not any(r.kept for r in got if r.doc_id in (400, 401, 402))
+    assert quality_rules.passing(spark, docs).columns == docs.columns
+    assert quality_rules.quality_rules(spark, docs.where("false")).count() == 0
+
+
+# near-duplicates
+
+
+def near(rows):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+    while True:
+        new = {i: min([label[j] for j in sets if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])], default=i) for i in sets}
+        if new == label:
+            return sets, label
+        label = new
+
+
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_minhash(spark, docs, rows, monkeypatch, chunk):
+    monkeypatch.setattr(minhash, "CHUNK_CLASSES", chunk)
+    sets, label = near([r for r in rows if r[0] is not None])
+    got = minhash.near_groups(spark, docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id)
+    assert len(set(label.values())) < len(sets) - 10
+
+
+def test_minhash_edges(spark, docs):
+    assert minhash.near_groups(spark, docs.where("false")).count() == 0
+    assert minhash.distinct_documents(spark, docs).columns == docs.columns
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(30)] + [(100, 101), (5, 5), (101, 100)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(31)} | {100: 100, 101: 100}
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(0)
+    a = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+    b = np.union1d(a[: len(a) // 2], rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
+    s = minhash.signatures([a, b])
+    assert abs((s[0] == s[1]).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.12
+
+
+# repeated passages
+
+
+def cut(rows):
+    seen, out = set(), {}
+    for i, t in sorted((r[0], (r[1] or "").encode()) for r in rows):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            else:
+                seen.add(t[k : k + 100])
+        left = bytes(b for b, g in zip(t, gone) if not g)
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        out[i] = (len(t), sum(gone), spans, hashlib.sha256(left).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeats(spark, unique, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(repeats, "CHUNK_SYMBOLS", 500)
+    want = cut([(r.doc_id, r.text) for r in unique.select("doc_id", "text").collect()])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(spark, unique).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 10_000
+
+
+def test_repeats_edges(spark, docs, rows):
+    got = repeats.without_repeats(spark, docs, keep_text=True).collect()
+    assert len(got) == len(rows) and all(hashlib.sha256(r.kept_text).hexdigest() == r.kept_sha256 for r in got)
+    twice = [r.n_removed for r in got if r.doc_id == 23]
+    assert sorted(twice)[0] == 0 and sorted(twice)[1] > 0
+    assert repeats.without_repeats(spark, docs.where("false")).count() == 0
+
+
+def test_merge_orders_suffixes():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 99, 130, dtype=np.uint8)) for _ in range(9)]
+    strings = repeats.Strings(texts, np.full(9, 20), np.arange(9))
+    parts = [np.flatnonzero(strings.owner % 4 == k) for k in range(4)]
+    suffix, block = repeats.merge([repeats.transform(strings, p) for p in parts])
+    assert sorted(suffix) == list(range(len(strings.code))) and (np.diff(block) >= 0).all()
+    whole, _ = repeats.transform(strings, np.arange(len(strings.code)))
+    assert (strings.code[whole] == strings.code[suffix]).all()
+
+
+# classifiers
+
+
+def labelled(spark, n=1500):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400)]
+    docs, labels = [], []
+    for k in range(n):
+        text = list(rng.choice(words, 60))
+        bad, junk = k % 7 == 0, k % 5 == 0
+        if bad:
+            text[10:12] = ["Vile,", "scoundrel!"]
+        if bad and k % 2:
+            text[20] = "muslim"
+        if junk:
+            text = [w + "%%%" for w in text[:20]] * 3
+        docs.append((k, " ".join(text), 9))
+        labels.append((k, int(not junk), int(bad), 9))
+    return spark.createDataFrame(docs, "doc_id long, text string, label int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, label int")
+
+
+def measured(rows, truth):
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    return sum(r.predicted == truth(r.doc_id) for r in held) / len(held)
+
+
+def test_quality(spark):
+    docs, labels = labelled(spark)
+    rows = quality_fm.quality(docs, labels).collect()
+    assert len(rows) == 1500 and measured(rows, lambda k: int(k % 5 != 0)) > 0.97
+
+
+def test_toxicity(spark):
+    docs, labels = labelled(spark)
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert measured(rows, lambda k: int(k % 7 == 0)) > 0.97
+
+
+def test_swaps_take_weight_from_identity_terms(spark):
+    docs, labels = labelled(spark)
+    reader = toxicity.Words()
+    table = docs.join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    rows = pd.DataFrame({"label": table.toxic, "words": [reader.of([t.encode()])[1].view(np.int64) for t in table.text]})
+    neutral = [b"the muslim baker smiled", b"the hindu baker smiled", b"the baker smiled"]
+    gap = lambda m: abs(m(neutral)[0] - m(neutral)[2])
+    plain, regular = toxicity.fit_words(rows, swap=0.0), toxicity.fit_words(rows, swap=50.0)
+    assert gap(regular) <= 0.5 * gap(plain) + 1e-6
+
+
+@pytest.mark.parametrize("score", [quality_fm.quality, toxicity.toxicity])
+def test_classifier_edges(spark, docs, score):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    for own in (labels, labels.where("false")):
+        rows = score(docs, own).collect()
+        assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert score(docs.where("false"), labels).count() == 0
+
+
+def test_factorisation_is_the_sum_over_pairs():
+    rng = np.random.default_rng(0)
+    machine = quality_fm.FactorisationMachine(0.3, rng.normal(size=20), rng.normal(size=(20, 3)))
+    column, value = np.array([1, 4, 7, 2, 5]), rng.normal(size=5)
+    got = machine.margins(column, value, np.array([3, 3, 5]))[0]
+    pairs = lambda ks: 0.3 + sum(machine.weights[column[k]] * value[k] for k in ks) + sum(
+        machine.factors[column[a]] @ machine.factors[column[b]] * value[a] * value[b] for a in ks for b in ks if a < b)
+    assert got == pytest.approx([pairs(range(3)), 0.3, pairs(range(3, 5))])
+
+
+# secrets
+
+
+def test_secrets(spark):
+    held = secrets.labelled_findings(spark, 7000).where("doc_id >= 6000")
+    rows = secrets.secret_scan(spark, held).join(held.select("doc_id", "is_secret").withColumnRenamed("is_secret", "truth"), "doc_id").collect()
+    assert len(rows) >= 950 and sum(r.is_secret == bool(r.truth) for r in rows) / len(rows) > 0.97
+
+
+def test_secret_candidates(spark, docs):
+    texts = ['a token = "0123456789abcdef0123" b', "x\n\nkey=ABCdef123456789012345 1234567890123456", "short12 none", None, "", "z" * 100_000 + "1"]
+    df = spark.createDataFrame([(k, t, "v") for k, t in enumerate(texts)], "doc_id long, text string, value string")
+    want = set()
+    for k, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            for m, w in enumerate(WORD.findall(line)):
+                want |= {(k, n, m, x) for x in re.findall(r"[A-Za-z0-9+/_=\-]+", w) if re.search(r"\d", x) and len(x) >= 16}
+    assert {(r.doc_id, r.line, r.word, r.value) for r in secrets.candidates(df).collect()} == want
+    assert secrets.secret_scan(spark, docs.where("false")).count() == 0 and secrets.secret_scan(spark, docs).count() >= 0
+    clean = secrets.redacted(spark, df).where("doc_id = 0").first()
+    assert clean.text == 'a token = "[secret]" b'

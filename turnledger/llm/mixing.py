@@ -99,7 +99,7 @@ def take_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
         left, epoch = left - size, epoch + 1
     words = blocks["words"].to_numpy()
     chosen = np.zeros(len(blocks), dtype=bool)
-    for k, n in enumerate(words):
+    for k, n in enumerate(words if left > 0 else ()):
         if n <= left:
             chosen[k], left = True, left - n
     chosen, left = swapped(words, chosen, left)
@@ -149,7 +149,8 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, draws). rows: row_id, doc_id, size, source_size, target. draws: row_id, epoch, shard, order_key.
 
-    A row of ``draws`` is one use of a document; a document has up to
+    A row of ``draws`` is one use of a document, which is taken whole, so a
+    source comes as near its target as its documents allow; a document has up to
     ``max_repeats`` of them, each in an epoch of its own. A null or empty text
     has size 0 and is drawn with its block. A null source is a source of its
     own, the last. Ties of hashes go by doc_id; repeated rows are documents of

@@ -117,9 +117,9 @@ def fit_words(rows: pd.DataFrame, sparse: float = SPARSE, ridge: float = RIDGE,
     # a step of the inverse of the steepest curvature (power iteration on the words' matrix)
     probe = np.ones(len(words)) / np.sqrt(len(words))
     for _ in range(12):
-        probe = np.bincount(column, weights=sums(probe[column], ends)[row], minlength=len(words))
+        probe = np.bincount(column, weights=sums(probe[column], ends)[row], minlength=len(words)).astype(np.float64)
         top = np.linalg.norm(probe)
-        probe /= top
+        probe /= top or 1.0
     step = 1 / (0.25 * (top + n) / n + ridge + (8 * swap * times_.max() * 12 / n if len(a) else 0))
     for _ in range(ROUNDS):
         error = sigmoid(bias_ahead + sums(ahead[column], ends)) - label
