@@ -48,9 +48,7 @@ SEGMENT = 1 << 22
 CHUNK_SYMBOLS = 60_000
 SHARDS = 4
 #: Contexts of one minimiser that one task merges; above it starts are dealt by their strings.
-HOT_CONTEXTS = 20_000
-#: Contexts up to which their places are broadcast to the texts (24 bytes each); beyond it texts are shuffled by id.
-BROADCAST_CONTEXTS = 1_000_000
+HOT_CONTEXTS = 8_000
 LAST = (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(10)
@@ -156,10 +154,10 @@ class Strings:
         symbol = data.astype(np.uint64)
         symbol[start + place] = 256 + group.astype(np.uint64)
         symbol = symbol[np.cumsum(cut[:-1]) == 0]
-        self.size = size - (GRAM - 1)
-        self.start = np.cumsum(self.size) - self.size
-        self.owner = np.repeat(np.arange(len(texts)), self.size)
-        self.offset = np.arange(len(symbol)) - self.start[self.owner]
+        self.size = (size - (GRAM - 1)).astype(np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)
+        self.offset = np.arange(len(symbol), dtype=np.int32) - self.start[self.owner]
         code = mixed(symbol + _M[3])
         for step, factor in ((1, _M[0]), (2, _M[1]), (4, _M[2])):
             code = code * factor + code[self.shifted(step)]
@@ -197,7 +195,7 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
         weave, moved, held = weave[order], symbol[order], block[order]
         fresh = (moved[1:] != moved[:-1]) | (held[1:] != held[:-1])
         block = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(fresh, dtype=np.int32)])
-    suffix = np.empty(len(weave), dtype=np.int64)
+    suffix = np.empty(len(weave), dtype=np.int32)
     for k, (own, _) in enumerate(shards):
         suffix[weave == k] = own
     return suffix, block
@@ -335,11 +333,9 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     reps = reps.join(several, "h")
     wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "lo", "n", "place")).alias("wanted"))
     wanted = written(wanted, "repeats-wanted")
-    n = wanted.agg(F.sum(F.size("wanted"))).first()[0]
-    if not n:
+    if wanted.isEmpty():
         return whole
-    wanted = F.broadcast(wanted) if n <= BROADCAST_CONTEXTS else wanted.hint("shuffle_hash")
-    cut = texts.select("id", "text").join(wanted, "id").mapInArrow(cut_out, CUT)
+    cut = texts.select("id", "text").join(wanted.hint("shuffle_hash"), "id").mapInArrow(cut_out, CUT)
     hot = written(several.where(F.col("contexts") > HOT_CONTEXTS).select(F.col("h").alias("hot")), "repeats-hot")
     some_hot = not hot.isEmpty()
     if some_hot:
