@@ -5,8 +5,9 @@ import math
 from pyspark.sql import functions as F
 
 from turnledger.functions.text import boosted, point_id, sensory_score, similarity
-from turnledger.operators import consolidate, core_memory, extract, model_stage, retrieve, store, vectors
+from turnledger.operators import consolidate, core_memory, evaluate, extract, model_stage, retrieve, store, vectors
 from turnledger.settings import DEFAULT, Settings
+from turnledger.sources import conversations as made
 from turnledger.streaming import replay
 
 POSITIVE = [
@@ -147,3 +148,27 @@ def test_embedder_and_points(spark):
 def test_stage_merge(spark):
     rows = spark.createDataFrame([(1, 1, "t", "k", "a", 0.9, 1, 2), (1, 1, "t", "k", "b", 0.7, 2, 2), (1, 1, "t", "k", "c", 0.7, 3, 3), (1, 1, "t", "k2", "d", 0.6, 4, 3)], "user_id long, turn_number int, type string, key string, value string, confidence double, arrival long, stage int")
     assert {(r.key, r.value, r.stage) for r in extract.merged_stages(rows).collect()} == {("k", "b", 2), ("k2", "d", 3)}
+
+
+def test_made_conversations(spark):
+    rows = made.batch(spark, conversations=30).collect()
+    turns_of = {k: [r for r in rows if r.conv_id == k] for k in range(1, 31)}
+    assert all(10 <= len(t) <= 30 and [r.turn for r in sorted(t)] == list(range(1, len(t) + 1)) for t in turns_of.values())
+    stated = [r for r in rows if r.has_memory]
+    assert 0.5 < len(stated) / len(rows) < 0.7 and {r.type for r in stated} == {t for t, _, _ in made.STATED}
+    assert all(r.value in r.message and 0.8 <= r.confidence < 1.0 and "{" not in r.message for r in stated)
+    assert all(r.type is None and r.value is None for r in rows if not r.has_memory)
+
+
+def test_made_sweep(spark):
+    rows = made.sweep(spark, distances=(5, 20)).collect()
+    assert sorted((r.turn, r.distance) for r in rows if r.has_memory) == [(10, 20), (25, 5)]
+    assert [r.turn for r in rows if r.is_query] == [30] and len(rows) == 30
+
+
+def test_merge_effect(spark):
+    form = "user_id long, memory_id string, type string, key string"
+    before = spark.createDataFrame([(1, "a", "t", "k"), (1, "b", "t", "k"), (1, "c", "t", "other"), (2, "d", "t", "k")], form)
+    after = spark.createDataFrame([(1, "merged_1", "t", "k"), (1, "c", "t", "other")], form)
+    got = {r.user_id: (r.total_before, r.total_after, r.reduction, r.merged, r.duplicates_remaining) for r in evaluate.merging(before, after).collect()}
+    assert got == {1: (3, 2, 1, 1, 0), 2: (1, 0, 1, 0, 0)}

@@ -66,6 +66,15 @@ def duplicates(memories: DataFrame) -> DataFrame:
     return by.groupBy("user_id").agg((F.sum("n") - F.count(F.lit(1))).alias("duplicates"), F.sum("n").alias("n"))
 
 
+def merging(before: DataFrame, after: DataFrame) -> DataFrame:
+    """user_id, total_before, total_after, reduction, merged, duplicates_remaining: what a run of merges did to active rows."""
+    b = before.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_before"))
+    a = after.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_after"), F.count(F.when(F.col("memory_id").startswith("merged_"), 1)).alias("merged"))
+    rows = b.join(a, "user_id", "left").join(duplicates(after).select("user_id", F.col("duplicates").alias("duplicates_remaining")), "user_id", "left")
+    rows = rows.na.fill(0, ["total_after", "merged", "duplicates_remaining"])
+    return rows.withColumn("reduction", F.col("total_before") - F.col("total_after"))
+
+
 def promotion_share(expected: DataFrame, documents: DataFrame) -> DataFrame:
     """user_id, n_expected, n_promoted: expected rows (key) that stand in a document of their user."""
     whole = documents.groupBy("user_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list("body"))).alias("core"))

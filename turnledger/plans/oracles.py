@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..settings import KEYWORDS, MODIFIERS, PATTERNS, PROMOTION_TARGET, SPECIFIC, TYPE_PRIORITY, UPDATES
+from ..sources.conversations import DUCK_RANGE, batch_sql, sweep_sql
 from ..sources.tables import TURNS_SQL
 
 
@@ -158,6 +159,13 @@ FINAL = {
     "eval_mrr_topk": "SELECT user_id, count(*) AS n_truth, round(avg(coalesce(1.0::DOUBLE / place, 0.0::DOUBLE)), 6) AS mrr, count(*) FILTER (place <= 1) AS found_1, count(*) FILTER (place <= 3) AS found_3, count(*) FILTER (place <= 5) AS found_5, count(*) FILTER (place <= 10) AS found_10 FROM tr LEFT JOIN (SELECT user_id, id, min(rank) AS place FROM mt GROUP BY ALL) USING (user_id, id) GROUP BY user_id",
     "eval_distance_sweep": "SELECT d AS distance, count(*) AS n_truth, count(mt.id) AS n_found FROM tr JOIN now USING (user_id) JOIN (SELECT unnest([5, 10, 25, 50]) AS d) ON abs(turn_number - (now - d)) <= 2 LEFT JOIN (SELECT DISTINCT user_id, id FROM mt) mt ON mt.user_id = tr.user_id AND mt.id = tr.id GROUP BY d",
     "eval_decay": "SELECT count(*) FILTER (new_confidence IS NULL) AS deleted, count(*) FILTER (new_confidence < confidence) AS decayed, round(avg(confidence - new_confidence) FILTER (new_confidence < confidence), 6) AS average_loss FROM dc",
+    "eval_merge": """, live AS (SELECT * FROM m WHERE coalesce(superseded_by, '') IN ('', 'None')),
+lp AS (SELECT * FROM mp WHERE a_id IN (SELECT memory_id FROM live) AND b_id IN (SELECT memory_id FROM live)),
+after AS (SELECT user_id, type, key, 0 AS merged FROM live WHERE memory_id NOT IN (SELECT a_id FROM lp UNION SELECT b_id FROM lp)
+          UNION ALL SELECT user_id, type, CASE WHEN bc > ac THEN bk ELSE ak END, 1 FROM lp),
+af AS (SELECT user_id, count(*) AS n, CAST(sum(merged) AS BIGINT) AS merged, count(*) - count(DISTINCT (type, left(lower(key), 20))) AS duplicates FROM after GROUP BY user_id)
+SELECT b.user_id, b.n AS total_before, coalesce(af.n, 0) AS total_after, coalesce(merged, 0) AS merged, coalesce(duplicates, 0) AS duplicates_remaining, b.n - coalesce(af.n, 0) AS reduction
+FROM (SELECT user_id, count(*) AS n FROM live GROUP BY user_id) b LEFT JOIN af USING (user_id)""",
     "eval_duplicates": "SELECT user_id, CAST(count(*) - count(DISTINCT (type, left(lower(key), 20))) AS BIGINT) AS duplicates, count(*) AS n FROM s GROUP BY user_id",
     "eval_promotion": "SELECT x2.user_id, count(*) AS n_expected, CAST(sum(CASE WHEN contains(coalesce(core, ''), key) THEN 1 ELSE 0 END) AS BIGINT) AS n_promoted FROM (SELECT * FROM m WHERE mention_count >= 2) x2 LEFT JOIN (SELECT user_id, string_agg('## ' || section || chr(10) || line, chr(10)) AS core FROM p GROUP BY user_id) USING (user_id) GROUP BY x2.user_id",
     "eval_suite": "SELECT round(avg(coalesce(k, 0) / n_truth), 6) AS recall FROM (SELECT user_id, count(*) AS n_truth FROM tr GROUP BY user_id) LEFT JOIN (SELECT user_id, count(DISTINCT id) AS k FROM mt GROUP BY user_id) USING (user_id)",
@@ -165,3 +173,4 @@ FINAL = {
 }
 STEPS += f", cs AS ({score('(SELECT role, text FROM conversations)')})\n"
 ORACLE_SQL = {name: STEPS + final for name, final in FINAL.items()}
+ORACLE_SQL |= {"generated_conversations": batch_sql(DUCK_RANGE), "generated_sweep": sweep_sql(DUCK_RANGE)}

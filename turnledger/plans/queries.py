@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import similarity, update_intent
 from ..operators import consolidate, core_memory, evaluate, extract, model_stage, retrieve, store, vectors
 from ..settings import DEFAULT
+from ..sources import conversations as made
 from ..sources.tables import from_conversations, table, turns
 from ..streaming.replay import replayed
 
@@ -145,6 +146,19 @@ def prompts(s, d):
     return model_stage.prompts(extract.context(t).join(e, ["user_id", "turn_number"])).select("user_id", "turn_number", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_length"))
 
 
+def merge_effect(s, d):
+    """Merges over active rows; the rows of other users and types stay."""
+    own = store.active(memories(s, d))
+    both = pairs(s, d).where("coalesce(a.superseded_by, '') IN ('', 'None') AND coalesce(b.superseded_by, '') IN ('', 'None')")
+    return evaluate.merging(own, store.active(consolidate.merge_result(own, consolidate.merged_records(both))))
+
+
+def made_recall(s, d):
+    """What patterns find in made-up conversations, against their truth."""
+    rows = made.batch(s)
+    return evaluate.greedy_extraction(extract.stored_candidates(made.as_turns(rows)), made.truth(rows)).select("user_id", "tp", "fp", "fn", r6("f1"))
+
+
 RANKED = ("user_id", "rank", "memory_id", "type")
 ids = lambda df: df.select("memory_id")
 
@@ -211,6 +225,10 @@ QUERIES = {
     "eval_mrr_topk": lambda s, d: evaluate.reciprocal_rank(found(s, d), truth(s, d)).withColumn("mrr", F.round("mrr", 6)),
     "eval_distance_sweep": lambda s, d: evaluate.distance_recall(found(s, d), truth(s, d).join(now(s, d), "user_id"), (5, 10, 25, 50)),
     "eval_decay": lambda s, d: evaluate.decay_effect(m := consolidate.decayed(aged(s, d), SETTINGS), m.select("memory_id", F.col("new_confidence").alias("confidence"))).withColumn("average_loss", F.round("average_loss", 6)),
+    "eval_merge": merge_effect,
+    "generated_conversations": lambda s, d: made.batch(s),
+    "generated_sweep": lambda s, d: made.sweep(s),
+    "eval_generated_f1": made_recall,
     "eval_duplicates": lambda s, d: evaluate.duplicates(arrivals(s, d)),
     "eval_promotion": lambda s, d: evaluate.promotion_share(memories(s, d).where("mention_count >= 2").select("user_id", "key"), documents(s, d)),
     "eval_extraction_greedy": lambda s, d: evaluate.greedy_extraction(arrivals(s, d), truth(s, d)),
