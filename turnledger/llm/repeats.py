@@ -305,7 +305,7 @@ def identified(docs: DataFrame) -> DataFrame:
     if bad.isEmpty():
         return own.select(F.col("doc_id").alias("id"), "doc_id", "text")
     keyed = own.withColumn("k", F.coalesce("doc_id", F.lit(LAST))).withColumn("t", F.xxhash64("text"))
-    sorted_ = keyed.repartitionByRange(64, "k", "t").sortWithinPartitions("k", "t")
+    sorted_ = keyed.repartitionByRange("k", "t").sortWithinPartitions("k", "t")
     return written(sorted_.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text"), "repeats-numbered")
 
 
