@@ -16,6 +16,9 @@ from turnledger.llm.minhash import distinct_documents
 from turnledger.llm.mixing import mixed
 from turnledger.llm.quality_rules import passing
 
+#: Similarity of 5-word shingles from which documents are near-duplicates, in per cent.
+NEAR_PERCENT = 85
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -29,7 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document stays."""
-    return distinct_documents(spark, docs)
+    return distinct_documents(spark, docs, NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

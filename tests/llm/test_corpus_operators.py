@@ -220,6 +220,20 @@ def test_minhash_edges(spark, docs):
     assert minhash.distinct_documents(spark, docs).columns == docs.columns
 
 
+def test_minhash_at_another_threshold(spark):
+    words = [f"w{k}" for k in range(104)]
+    near = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 90 of 110 windows are shared
+    far = [*words[:30], "p", *words[31:50], "q", *words[51:70], "r", *words[71:]]  # 85 of 115
+    for k, other in enumerate((near, far)):
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+        assert [minhash.distinct_documents(spark, docs, p).count() for p in (85, 80, 70)] == [[2, 1, 1], [2, 2, 1]][k]
+
+
+def test_bands_follow_the_threshold():
+    assert (minhash.bands_for(85), minhash.bands_for(80), minhash.bands_for(100)) == (30, 46, 1)
+    assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands_for(p) <= 1e-6 for p in range(50, 101))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (5, 5), (101, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

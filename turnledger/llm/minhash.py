@@ -5,8 +5,8 @@
 2. Two permutations of a universe of 2^32 give all coordinates of a signature:
    the first is applied once, the second to the result shifted circularly by
    the number of the coordinate. Bands of coordinates are hashed to buckets.
-   With 30 bands of 6 rows a pair at similarity 0.85 shares no bucket with a
-   probability below 1e-6.
+   There are as many bands of 6 rows as a threshold needs, so that a pair at it
+   shares no bucket with a probability of at most 1e-6: 30 at 0.85, 46 at 0.80.
 3. Classes of a bucket are tied to its smallest class, not to each other; the
    components of these ties are the groups in which links can lie.
 4. Groups are cut into chunks of bounded size, each with the group's smallest
@@ -24,7 +24,9 @@ Links are confirmed on the full sets. Nothing of it is collected to the driver.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,11 @@ from .common import small_batches, written
 from .components import components
 
 SHINGLE = 5
+#: Similarity from which documents are linked, in per cent, where no other is given.
 PERCENT = 85
-BANDS, ROWS = 30, 6
+ROWS = 6
+#: Probability that a pair at the threshold shares no bucket, at most.
+MISSED = 1e-6
 #: Text that one step holds; classes and shingles of a chunk.
 STEP_BYTES = 1 << 20
 CHUNK_CLASSES, CHUNK_TOKENS = 1024, 2_000_000
@@ -53,7 +58,6 @@ _LETTERS = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACES = _RANDOM.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
-_BAND = _RANDOM.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 
 
 def mixed64(x: np.ndarray) -> np.ndarray:
@@ -124,7 +128,13 @@ class Shingler:
         return out
 
 
-def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.ndarray:
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands of ``rows`` rows with which pairs at ``percent`` similarity are missed with a probability of at most MISSED."""
+    same = (percent / 100) ** rows
+    return 1 if same >= 1 else math.ceil(math.log(MISSED) / math.log1p(-same))
+
+
+def signatures(sets: list[np.ndarray], coordinates: int = bands_for(PERCENT) * ROWS) -> np.ndarray:
     """Circulant MinHash of sets that are not empty: one row of 32-bit coordinates a set."""
     every = np.concatenate(sets)
     first = mixed32((every ^ (every >> np.uint64(32))).astype(np.uint32))
@@ -136,9 +146,10 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
     return out
 
 
-def buckets(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    cut = signature.reshape(len(signature), bands, rows).astype(np.uint64)
-    return mixed64((cut * _PLACES[:rows]).sum(axis=2, dtype=np.uint64) + _BAND[:bands]).astype(np.int64)
+def buckets(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    cut = signature.reshape(len(signature), -1, rows).astype(np.uint64)
+    band = mixed64(np.arange(1, cut.shape[1] + 1, dtype=np.uint64))
+    return mixed64((cut * _PLACES[:rows]).sum(axis=2, dtype=np.uint64) + band).astype(np.int64)
 
 
 def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -155,14 +166,14 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
 SIGNED = "row_id long, doc_id long, n_shingles long, digest binary, buckets array<long>"
 
 
-def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signed(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for a, b in steps(texts):
             sets = shingler.sets(texts[a:b])
             full = [s for s in sets if len(s)]
-            keys = iter(buckets(signatures(full)) if full else ())
+            keys = iter(buckets(signatures(full, bands * ROWS)) if full else ())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -183,7 +194,7 @@ def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["class", "n", "tokens"])
 
 
-def tied(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+def tied(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the first set of its component, over links of at least ``percent`` similarity.
 
     The sizes of all intersections come from products of 0/1 matrices over the
@@ -225,7 +236,7 @@ def tied(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 LINKS = "a long, b long"
 
 
-def links_of_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def links_of_chunks(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Edges from each class to the first class of its component in the chunk; chunks come one after the other."""
     held, key = [], None
 
@@ -233,7 +244,7 @@ def links_of_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(held).drop_duplicates("class").sort_values("class")
         if len(pdf) > 1:
             names = pdf["class"].to_numpy()
-            first = tied([np.frombuffer(t, dtype=np.uint64) for t in pdf["tokens"]])
+            first = tied([np.frombuffer(t, dtype=np.uint64) for t in pdf["tokens"]], percent)
             away = first != np.arange(len(names))
             if away.any():
                 yield pd.DataFrame({"a": names[away], "b": names[first[away]]})
@@ -253,13 +264,13 @@ def links_of_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from done()
 
 
-def compared(rows: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, percent: int) -> DataFrame:
     """Edges within the chunks (grp, p, q) of ``rows`` (class, tokens)."""
     dealt = rows.select("grp", "p", "q", "class", "tokens").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
-    return written(dealt.mapInPandas(links_of_chunks, LINKS), "near-links")
+    return written(dealt.mapInPandas(partial(links_of_chunks, percent=percent), LINKS), "near-links")
 
 
-def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
+def links(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links between classes.
 
     ``texts`` has doc_id and the text as bytes; ``classes`` has class (a
@@ -285,7 +296,7 @@ def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     sized = sized.withColumn("p", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")).withColumn("q", F.lit(-1))
     heads = sized.where((F.col("chunks") > 1) & (F.col("class") == F.col("grp")))
     heads = heads.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    found = compared(sized.unionByName(heads))
+    found = compared(sized.unionByName(heads), percent)
     if large.isEmpty():
         return found
     # what has not come to the component of the group's first class meets all chunks
@@ -297,14 +308,14 @@ def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     rest = rest.join(count, "grp").withColumn("q", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("parts")).cast("int"))
     rest = rest.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("parts")
     others = large_rows.join(count, "grp").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return found.unionByName(compared(others.unionByName(rest)))
+    return found.unionByName(compared(others.unionByName(rest), percent))
 
 
-def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     A-Z are lowered, words are what ASCII white space leaves; documents whose
-    sets have a similarity of at least 85 % are linked. component_id is the
+    sets have a similarity of at least ``percent`` % are linked. component_id is the
     smallest doc_id that links reach. A null or empty text, or one without
     words, has no shingles and is linked with nothing. Rows that share a doc_id
     are one document. A row without doc_id is linked with nothing, has a null
@@ -313,13 +324,13 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(signed, SIGNED)
+    rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(partial(signed, bands=bands_for(percent)), SIGNED)
     rows = written(rows, "near-signed")
     able = rows.where("n_shingles > 0 and doc_id is not null")
     classes = able.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("buckets").alias("buckets"))
     classes = written(classes, "near-classes")
     copies = able.join(classes.select("digest", "class"), "digest").where(F.col("doc_id") != F.col("class"))
-    edges = links(texts, classes.select("class", "buckets"))
+    edges = links(texts, classes.select("class", "buckets"), percent)
     edges = edges.select("a", "b").unionByName(copies.select(F.col("class").alias("a"), F.col("doc_id").alias("b")))
     label = components(edges)
     out = rows.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
@@ -327,7 +338,7 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def distinct_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def distinct_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    kept = near_groups(spark, docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_groups(spark, docs, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
