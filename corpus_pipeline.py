@@ -21,7 +21,7 @@ NEAR_PERCENT = 85
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, and frequent lines of the others."""
     return passing(spark, docs)
 
 

@@ -184,6 +184,18 @@ def test_quality_rules_edges(spark, docs):
     assert quality_rules.quality_rules(spark, docs.where("false")).count() == 0
 
 
+def test_frequent_lines_leave_kept_documents(spark):
+    rng = np.random.default_rng(3)
+    prose = [" ".join(f"w{k}" for k in rng.integers(0, 1 << 40, 30)) for _ in range(5)]
+    rows = [(k, f"  {t}\n\nAll rights  reserved {k}\nthe {'xyz'[k]} end\n", "a", 0) for k, t in enumerate(prose[:3])]
+    rows += [(3, f"{prose[3]}\nall rights reserved 7", "b", 9), (4, "all rights reserved 8", "a", 21), (None, f"{prose[4]}\nAll rights reserved 5", "a", 0)]
+    docs = spark.createDataFrame([*rows, (0, f"all rights reserved 1\n{prose[4]}", None, 8)], "doc_id long, text string, source string, n_chars int")
+    got = quality_rules.passing(spark, docs, min_texts=2, max_share=0.0)
+    want = [(k, f"  {t}\n\nthe {'xyz'[k]} end\n", "a", len(t) + 14) for k, t in enumerate(prose[:3])]
+    want += [rows[3], (None, prose[4], "a", len(prose[4])), (0, f"all rights reserved 1\n{prose[4]}", None, 8)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.schema == docs.schema
+
+
 # near-duplicates
 
 

@@ -10,7 +10,7 @@ more than a part of their words are rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, text_or_empty, written
@@ -108,15 +108,8 @@ def frequent_lines(rows: DataFrame, lines: DataFrame, min_texts: int, max_share:
     return counts.join(other, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("texts") > max_share * F.col("host_texts")).select("host", "line")
 
 
-def quality_rules(
-    spark: SparkSession, docs: DataFrame, min_texts: int = MIN_LINE_TEXTS, max_share: float = MAX_LINE_SHARE, max_removed: float = MAX_REMOVED
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the statistics, removed_words, base_failed, kept.
-
-    Null and empty texts have no words and fail the base rules. A null source
-    is a host of its own. Repeated rows are judged alike. An empty table gives
-    an empty result; other columns are not looked at.
-    """
+def judged(docs: DataFrame, min_texts: int = MIN_LINE_TEXTS, max_share: float = MAX_LINE_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """The rows of ``quality_rules`` with their host and removed_lines, the hashes of their frequent lines (null: none)."""
     rows = written(statistics(docs), "rules-rows")
     lines = rows.select("row_id", "host", "digest", F.inline("lines"))
     frequent = frequent_lines(rows, lines, min_texts, max_share)
@@ -126,20 +119,46 @@ def quality_rules(
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
     same = F.col("host").eqNullSafe(F.col("host_")) & (F.col("line") == F.col("line_")) & (F.col("salt") == F.col("salt_"))
     found = salted.join(frequent, same)
-    removed = found.groupBy("row_id").agg(F.sum("line_words").alias("removed_words"))
+    removed = found.groupBy("row_id").agg(F.sum("line_words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = rows.join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", failed)
-    return out.select(
-        "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed",
-        (~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words"))).alias("kept"),
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, **limits) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the statistics, removed_words, base_failed, kept.
+
+    Null and empty texts have no words and fail the base rules. A null source
+    is a host of its own. Repeated rows are judged alike. An empty table gives
+    an empty result; other columns are not looked at. ``limits`` are those of
+    ``judged``.
+    """
+    return judged(docs, **limits).select(
+        "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"
     )
 
 
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose forms have these hashes; the other lines stay as they are."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(hashes, F.xxhash64(line_form(line)))), "\n")
+
+
 def passing(spark: SparkSession, docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns and whole texts.
+    """The rows of ``docs`` that the rules keep, without their frequent lines, with all their columns.
 
-    Rows that share a doc_id stay if one of them is kept.
+    Rows that share a doc_id stay if one of them is kept. The rules judge the
+    texts as they were. n_chars, where it is present, follows a changed text.
     """
-    kept = quality_rules(spark, docs, **limits).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    rows = judged(docs, **limits).select("doc_id", "host", "kept", "removed_lines")
+    # all rows of an id and host have the host's frequent lines, so their hashes can be put together
+    hashes = F.array_distinct(F.flatten(F.collect_list("removed_lines")))
+    rows = rows.groupBy(F.col("doc_id").alias("__id"), F.col("host").alias("__host")).agg(F.max("kept").alias("__kept"), hashes.alias("__lines"))
+    rows = rows.withColumn("__kept", F.max("__kept").over(Window.partitionBy("__id"))).where("__kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["__id"]) & docs["source"].cast("string").eqNullSafe(rows["__host"])
+    cut = F.size("__lines") > 0
+    text = F.when(cut, without_lines(docs["text"], F.col("__lines"))).otherwise(docs["text"])
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return docs.join(rows, same).select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
