@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,6 +109,21 @@ def test_bpe_of_any_characters():
         assert ids[a:b].tolist() == want and said == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_all_of_unicode():
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(WORDS), bpe.RankArrayBPE(WORDS)
+    rng = np.random.default_rng(8)
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    every = [c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [*map("".join, ("\u0314\u0c3c", "\u0f39\u0d3b", "\u1ac0\u0335", "e\u0301", "\uac01\u11a8", "\u0130I\u0307"))]
+    texts += ["".join(map(chr, rng.choice(pool, rng.integers(1, 40)))) for pool in (every, marks, [*marks, *range(97, 123)], range(1, 0x3000)) for _ in range(1500)]
+    ids, ends, decoded = coder.encode(texts)
+    for text, a, b, said in zip(texts, [0, *ends[:-1]], ends, decoded):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids[a:b].tolist() == want and said == library.decode(want, skip_special_tokens=False)
+
+
 # mixing
 
 

@@ -10,8 +10,9 @@ word, and each step takes the minimum of every row at once. Words of over
 use a heap over a linked list; both give the same merges.
 
 Only distinct words of a batch are encoded. Texts are normalised and cut into
-words here for the scripts where that is plain, and by the library's own
-normaliser and pre-tokeniser otherwise.
+words here for ASCII and Latin letters, where every version of Unicode agrees,
+and by the library's own normaliser and pre-tokeniser otherwise, which get the
+text as it is.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +66,7 @@ class RankArrayBPE:
         names |= {v: k for k, v in self.special.items()}
         self.names = [names.get(k, "") for k in range(max(names) + 1)]
         alphabet = byte_alphabet()
+        self.bytes_of = {c: b for b, c in enumerate(alphabet)}
         self.inner = np.array([self.vocab[c] for c in alphabet], dtype=np.int32)
         self.last = np.array([self.vocab[c + end] for c in alphabet], dtype=np.int32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -195,12 +196,11 @@ class RankArrayBPE:
     def _normal(self, text: str) -> list[str]:
         if text.isascii():
             return self.words.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
+        # up to there all characters are composed already, and Unicode has not changed them since
         if max(text) < "ʰ" and "İ" not in text and "\x85" not in text:
             return self.words.findall(text.lower())
         text = self.library.normalizer.normalize_str(text)
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        return [bytes(back[c] for c in word).decode("utf-8") for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return [bytes(self.bytes_of[c] for c in word).decode("utf-8") for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def cut(self, text: str) -> list[str]:
         """Words of a text, and the special strings in it, which stand for themselves."""
@@ -257,8 +257,9 @@ def encoded(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
 
     Ids are those of the tokenizers library without added special tokens,
     truncation or padding; special strings inside a text are their own ids, as
-    is its default. Null texts count as empty and give no ids. Repeated rows
-    are encoded each; other columns are not looked at.
+    is its default. Null and empty texts give no ids and an empty decoded text;
+    a text of any length is encoded whole. Repeated rows are encoded each; an
+    empty table gives an empty result; other columns are not looked at.
     """
     more = [T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())] if keep else []
     schema = T.StructType([*ENCODED.fields, *more])
