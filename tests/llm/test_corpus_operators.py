@@ -257,6 +257,29 @@ def test_minhash_at_another_threshold(spark):
         assert [minhash.distinct_documents(spark, docs, p).count() for p in (85, 80, 70)] == [[2, 1, 1], [2, 2, 1]][k]
 
 
+def thue_morse(flip):
+    return "".join("ab"[(k.bit_count() + flip) & 1] for k in range(4096))
+
+
+def test_unlike_words_are_not_linked(spark):
+    """Strings on which sums of letters times powers collide, whatever the odd base modulo 2^64."""
+    a, b = thue_morse(0), thue_morse(1)
+    rest = " ".join(f"w{k}" for k in range(14))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{rest} {a} {rest[::-1]}"), (4, f"{rest} {b} {rest[::-1]}")], "doc_id long, text string")
+    assert [r.component_id for r in minhash.near_groups(spark, docs).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+    sets = minhash.numbered([f"{rest} {a}".encode(), f"{rest} {b}".encode(), b"x y", b"x y", b"y x", b""])
+    assert len(np.intersect1d(sets[0], sets[1])) == len(sets[0]) - 1 and [s.tolist() for s in sets[2:]] == [[-1], [-1], [-2], []]
+
+
+def test_a_document_has_the_links_of_all_its_texts(spark):
+    words = [[f"{c}{k}" for k in range(60)] for c in "abc"]
+    near = [[*w[:59], "z"] for w in words]
+    rows = [(5, words[0]), (5, words[1][:40]), (6, near[0]), (7, words[1][:39]), (8, words[2]), (9, near[2]), (9, words[1][40:])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_groups(spark, docs).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (8, 8), (9, 8)}
+
+
 def test_bands_follow_the_threshold():
     assert (minhash.bands_for(85), minhash.bands_for(80), minhash.bands_for(100)) == (30, 46, 1)
     assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands_for(p) <= 1e-6 for p in range(50, 101))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
-from .minhash import Shingler
+from .minhash import word_hashes
 
 #: Labelled rows that a classifier is fitted on at most, give or take a sampling error; more are sampled by a hash of doc_id.
 MAX_LABELLED = 16_000
@@ -20,23 +20,19 @@ FOLDS = 5
 _SEED = 77
 
 
-class Words(Shingler):
+class Words:
     """Hashes of the words of many texts: runs of letters, digits and bytes of other scripts, A-Z lowered."""
 
     def __init__(self):
-        super().__init__()
         self.plain = bytes(
             c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c in b"'" else 32 for c in range(256)
         )
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct words: index of the text, hash of the word; in the order of texts."""
-        data = np.frombuffer(b" ".join(t.translate(self.plain) for t in texts), dtype=np.uint8)
-        if not len(data):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        start, word = self.words(data)
-        text = np.searchsorted(np.cumsum(size + 1), start, side="right")
+        words = [t.translate(self.plain).split() for t in texts]
+        word = word_hashes([w for own in words for w in own])
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
         order = np.lexsort((word, text))
         text, word = text[order], word[order]
         if not len(text):

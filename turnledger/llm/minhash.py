@@ -1,7 +1,8 @@
 """Near-duplicates by circulant MinHash, banding, and exact Jaccard similarity.
 
-1. Every text becomes its set of word shingles (64-bit hashes). Texts with the
-   same set form a class, found by a digest of the set, and go on as one row.
+1. Every text becomes its set of word shingles, as 64-bit numbers made of keyed
+   hashes of the words. Texts with the same set form a class, found by a digest
+   of the set (of the words themselves where a set is small), and go on as one row.
 2. Two permutations of a universe of 2^32 give all coordinates of a signature:
    the first is applied once, the second to the result shifted circularly by
    the number of the coordinate. Bands of coordinates are hashed to buckets.
@@ -10,15 +11,16 @@
 3. Classes of a bucket are tied to its smallest class, not to each other; the
    components of these ties are the groups in which links can lie.
 4. Groups are cut into chunks of bounded size, each with the group's smallest
-   class. In a chunk a matrix product gives the exact sizes of all
-   intersections; links are taken to components there, so what leaves a chunk
-   is at most a row a class. Groups of one chunk are done with that. In larger
-   ones the classes that did not come to the first one's component are compared
-   with every other chunk; what a hot group has linked already is not compared
-   again.
+   class. A chunk has the words of its texts. They are numbered, and shingles are
+   numbered by their words, so no hash takes part; a matrix product gives the
+   exact sizes of all intersections. Links are taken to components there, so
+   what leaves a chunk is at most a row a class. Groups of one chunk are done
+   with that. In larger ones the classes that did not come to the first one's
+   component are compared with every other chunk; what a hot group has linked
+   already is not compared again.
 5. The components of all links follow in DataFrames.
 
-Links are confirmed on the full sets. Nothing of it is collected to the driver.
+Links are confirmed on the full sets of words. Nothing of it is collected to the driver.
 """
 
 from __future__ import annotations
@@ -44,19 +46,15 @@ PERCENT = 85
 ROWS = 6
 #: Probability that a pair at the threshold shares no bucket, at most.
 MISSED = 1e-6
-#: Text that one step holds; classes and shingles of a chunk.
+#: Text that one step holds; classes and words of a chunk.
 STEP_BYTES = 1 << 20
-CHUNK_CLASSES, CHUNK_TOKENS = 1024, 2_000_000
+CHUNK_CLASSES, CHUNK_WORDS = 1024, 2_000_000
 COLUMNS = 4096
-#: Identifiers up to which candidates are broadcast to the texts (8 bytes each); beyond it texts are shuffled by identifier.
-BROADCAST_IDS = 1_000_000
+#: Sets of up to so many shingles are told apart by their words. In larger ones two collisions of 64-bit hashes would have
+#: to meet, as sets that differ in one shingle alone are near-duplicates anyway.
+SMALL = 32
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _RANDOM = np.random.default_rng(9)
-_LETTERS = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACES = _RANDOM.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -79,53 +77,45 @@ def mixed32(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Shingler:
-    """Sets of word shingles of many texts at once."""
-
-    def __init__(self, width: int = SHINGLE):
-        self.width = width
-        self._powers(1 << 16)
-
-    def _powers(self, n: int) -> None:
-        one = np.ones(1, dtype=np.uint64)
-        self.power = np.concatenate([one, np.cumprod(np.full(n, _BASE))])
-        self.inverse = np.concatenate([one, np.cumprod(np.full(n, _INVERSE))])
-
-    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of words in the bytes, and their hashes: differences of one running sum."""
-        n = len(data)
-        if n > len(self.power):
-            self._powers(n)
-        letter = ~_SPACE[data]
-        edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_LETTERS[data] * self.power[:n])])
-        return start, mixed64((total[end] - total[start]) * self.inverse[start])
-
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The sorted distinct shingles of each text; a text of fewer words has its whole sequence as one."""
-        lower = [t.lower() for t in texts]  # of bytes: A-Z only
-        data = np.frombuffer(b"\n".join(lower), dtype=np.uint8)
-        size = np.fromiter(map(len, lower), dtype=np.int64, count=len(lower))
-        first = np.cumsum(size + 1) - size - 1
-        start, word = self.words(data)
-        begin = np.searchsorted(start, first)
-        end = np.append(begin[1:], len(start))
-        width = self.width
-        n = max(0, len(word) - width + 1)
-        summed = np.zeros(n, dtype=np.uint64)
-        for k in range(width):
-            summed += word[k : k + n] * _PLACES[k]
-        summed = mixed64(summed)
-        out = []
-        for a, b in zip(begin.tolist(), end.tolist()):
-            if b - a >= width:
-                out.append(np.unique(summed[a : b - width + 1]))
-            elif b > a:
-                out.append(mixed64((word[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True) + _PLACES[8 + b - a]))
-            else:
-                out.append(np.zeros(0, dtype=np.uint64))
-        return out
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A keyed 64-bit hash of each word's bytes; each different word is hashed once."""
+    held = np.empty(len(words), dtype=object)
+    held[:] = words
+    return pd.util.hash_array(held) if len(words) else np.zeros(0, dtype=np.uint64)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words between ASCII white space, A-Z lowered."""
+    return text.lower().split()
+
+
+def shingled(texts: list[list[bytes]], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text's words; a text of fewer words has its whole sequence as one."""
+    word = word_hashes([w for words in texts for w in words])
+    n = max(0, len(word) - width + 1)
+    summed = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        summed += word[k : k + n] * _PLACES[k]
+    summed = mixed64(summed)
+    out, a = [], 0
+    for words in texts:
+        b = a + len(words)
+        if b - a >= width:
+            out.append(np.unique(summed[a : b - width + 1]))
+        elif b > a:
+            out.append(mixed64((word[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True) + _PLACES[8 + b - a]))
+        else:
+            out.append(np.zeros(0, dtype=np.uint64))
+        a = b
+    return out
+
+
+def identity(words: list[bytes], shingles: np.ndarray, width: int = SHINGLE) -> bytes:
+    """A digest by which equal sets are known."""
+    if len(shingles) > SMALL:
+        return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    windows = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    return hashlib.blake2b(b"\n".join(sorted(windows)), digest_size=16).digest()
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
@@ -167,35 +157,58 @@ SIGNED = "row_id long, doc_id long, n_shingles long, digest binary, buckets arra
 
 
 def signed(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for a, b in steps(texts):
-            sets = shingler.sets(texts[a:b])
+            words = [words_of(t) for t in texts[a:b]]
+            sets = shingled(words)
             full = [s for s in sets if len(s)]
             keys = iter(buckets(signatures(full, bands * ROWS)) if full else ())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(w, s) for w, s in zip(words, sets)], pa.binary()),
                 pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
             ], names=["row_id", "doc_id", "n_shingles", "digest", "buckets"])
 
 
 def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+    """The lowered words of each text, a digest of them, and their number."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in steps(texts):
-            sets = shingler.sets(texts[a:b])
+            words = [words_of(t) for t in texts[a:b]]
+            joined = [b" ".join(w) for w in words]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ], names=["class", "n", "tokens"])
+                batch.column(0).slice(a, b - a), pa.array([len(w) for w in words], pa.int64()),
+                pa.array([hashlib.sha256(j).digest() for j in joined], pa.binary()), pa.array(joined, pa.binary()),
+            ], names=["class", "n", "sha", "words"])
+
+
+def numbered(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingles of each text as numbers: equal numbers, and only they, are equal words in equal order."""
+    words = [t.split() for t in texts]
+    held = np.empty(sum(map(len, words)), dtype=object)
+    held[:] = [w for own in words for w in own]
+    word = pd.factorize(held)[0].astype(np.int64)
+    base, run = np.int64(len(word) + 1), word
+    for k in range(1, width):
+        n = max(0, len(word) - k)
+        run = np.unique(run[:n] * base + word[k : k + n], return_inverse=True)[1]
+    out, short, a = [], {}, 0
+    for own in words:
+        b = a + len(own)
+        if b - a >= width:
+            out.append(np.unique(run[a : b - width + 1]))
+        elif b > a:
+            out.append(np.array([-1 - short.setdefault(tuple(own), len(short))]))
+        else:
+            out.append(np.zeros(0, dtype=np.int64))
+        a = b
+    return out
 
 
-def tied(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the first set of its component, over links of at least ``percent`` similarity.
+def tied(sets: list[np.ndarray], percent: int, names: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first set of its component, over links of at least ``percent`` similarity, and of equal names.
 
     The sizes of all intersections come from products of 0/1 matrices over the
     elements that two sets share at all, a slice of them at a time.
@@ -224,6 +237,8 @@ def tied(sets: list[np.ndarray], percent: int) -> np.ndarray:
     union = size[:, None] + size[None, :] - common
     link = 100 * common >= percent * union
     np.fill_diagonal(link, True)
+    if names is not None and len(np.unique(names)) < n:
+        link |= names[:, None] == names[None, :]
     label = np.arange(n)
     while True:
         new = np.where(link, label[None, :], n).min(axis=1)
@@ -241,13 +256,13 @@ def links_of_chunks(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd
     held, key = [], None
 
     def done() -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(held).drop_duplicates("class").sort_values("class")
+        pdf = pd.concat(held).drop_duplicates(["class", "sha"]).sort_values(["class", "sha"])
         if len(pdf) > 1:
             names = pdf["class"].to_numpy()
-            first = tied([np.frombuffer(t, dtype=np.uint64) for t in pdf["tokens"]], percent)
-            away = first != np.arange(len(names))
+            first = names[tied(numbered(pdf["words"].tolist()), percent, names)]
+            away = first != names
             if away.any():
-                yield pd.DataFrame({"a": names[away], "b": names[first[away]]})
+                yield pd.DataFrame({"a": names[away], "b": first[away]})
 
     for frame in frames:
         keys = list(zip(frame["grp"], frame["p"], frame["q"]))
@@ -265,8 +280,8 @@ def links_of_chunks(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd
 
 
 def compared(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges within the chunks (grp, p, q) of ``rows`` (class, tokens)."""
-    dealt = rows.select("grp", "p", "q", "class", "tokens").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+    """Edges within the chunks (grp, p, q) of ``rows`` (class, sha, words)."""
+    dealt = rows.select("grp", "p", "q", "class", "sha", "words").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
     return written(dealt.mapInPandas(partial(links_of_chunks, percent=percent), LINKS), "near-links")
 
 
@@ -281,16 +296,14 @@ def links(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     many = spread.groupBy("bucket").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ties = spread.join(many, "bucket").where(F.col("class") != F.col("first")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     group = components(ties).withColumnRenamed("node", "class").withColumnRenamed("label", "grp")
-    n = group.count()
-    if not n:
-        return ties
-    wanted = F.broadcast(group) if n <= BROADCAST_IDS else group.hint("shuffle_hash")
-    own = texts.join(wanted, F.col("doc_id") == F.col("class"), "left_semi").mapInArrow(tokenised, "class long, n long, tokens binary")
-    # a doc_id that stands in several rows counts with one of its texts
-    own = own.groupBy("class").agg(F.max(F.struct("n", "tokens")).alias("t")).select("class", "t.n", "t.tokens")
+    group = written(group, "near-candidates")
+    # how the candidates' identifiers come to the texts is Spark's choice, by the size of the written table
+    own = texts.join(group.select("class"), F.col("doc_id") == F.col("class"), "left_semi").mapInArrow(tokenised, "class long, n long, sha binary, words binary")
+    # a doc_id that stands in several rows counts with each of its texts
+    own = own.groupBy("class", "sha").agg(F.first("n").alias("n"), F.first("words").alias("words"))
     own = written(own.join(group, "class"), "near-sets")
     stats = own.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
-    chunks = F.greatest(F.ceil(F.col("size") / CHUNK_CLASSES), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int")
+    chunks = F.greatest(F.ceil(F.col("size") / CHUNK_CLASSES), F.ceil(F.col("total") / CHUNK_WORDS)).cast("int")
     large = written(stats.select("grp", chunks.alias("chunks")).where("chunks > 1"), "near-large")
     sized = own.join(large, "grp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     sized = sized.withColumn("p", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")).withColumn("q", F.lit(-1))
@@ -304,7 +317,7 @@ def links(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     large_rows = sized.where("chunks > 1").join(part, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class")).drop("node")
     large_rows = written(large_rows, "near-large-rows")
     rest = large_rows.where(F.col("label") != F.col("grp"))
-    count = rest.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("parts"))
+    count = rest.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES), F.ceil(F.sum("n") / CHUNK_WORDS)).cast("int").alias("parts"))
     rest = rest.join(count, "grp").withColumn("q", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("parts")).cast("int"))
     rest = rest.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("parts")
     others = large_rows.join(count, "grp").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -318,7 +331,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
     sets have a similarity of at least ``percent`` % are linked. component_id is the
     smallest doc_id that links reach. A null or empty text, or one without
     words, has no shingles and is linked with nothing. Rows that share a doc_id
-    are one document. A row without doc_id is linked with nothing, has a null
+    are one document, with the links of all its texts. A row without doc_id is linked with nothing, has a null
     component_id, and is kept. An empty table gives an empty result; other
     columns are not looked at.
     """
@@ -339,6 +352,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all their columns."""
+    """The rows of ``docs`` that stay, one document of each group, with all their columns.
+
+    What links documents, and what null, empty and repeated rows are, is as in
+    ``near_groups``: rows without a doc_id stay, and so do all rows of a doc_id
+    that stays. An empty table gives an empty result.
+    """
     kept = near_groups(spark, docs, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
