@@ -49,23 +49,38 @@ def test_exact_dedup(spark, docs, rows):
 
 def test_hot_group_is_salted_and_collisions_are_split(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 3)
-    monkeypatch.setattr(exact_dedup, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(exact_dedup, "HOT_PART", 4)
     df = spark.createDataFrame([(k, "same text") for k in range(20)] + [(99, "other")], "doc_id long, text string")
     assert {(r.keep_id, r.group_size) for r in exact_dedup.exact_groups(spark, df).collect()} == {(0, 20), (99, 1)}
-    short = lambda df: df.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.lit("x").alias("digest"), F.lit("").alias("locator"))
-    texts = df.select(F.monotonically_increasing_id().alias("row_id"), exact_dedup.normalised().alias("norm"))
-    split = exact_dedup.regrouped(short(df), texts).collect()
-    assert {(r.keep_id, r.group_size) for r in split} == {(0, 20), (99, 1)}
+    whole = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda rows, batch: whole(rows, batch).withColumn("digest", F.lit("x")))
+    got = exact_dedup.exact_groups(spark, df).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(0, 20), (99, 1)} and sum(r.kept for r in got) == 2
 
 
 def test_state_goes_on(spark, tmp_path):
-    df = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string")
-    prints = exact_dedup.fingerprints(df)
-    prints.write.parquet(str(tmp_path / "p"))
-    exact_dedup.fold(spark, str(tmp_path / "p"), str(tmp_path / "c"), prints.schema)
-    exact_dedup.fingerprints(spark.createDataFrame([(1, "b"), (7, "c")], "doc_id long, text string")).write.mode("append").parquet(str(tmp_path / "p"))
-    state = exact_dedup.fold(spark, str(tmp_path / "p"), str(tmp_path / "c"), prints.schema).collect()
-    assert sorted((r.keep_id, r.group_size) for r in state) == [(1, 2), (5, 1), (7, 1)]
+    """Batches folded one after the other, from files and from memory, keep one row a text; a repeated call changes nothing."""
+    home = str(tmp_path / "state")
+    one = [(5, "a"), (6, "b"), (8, "b"), (None, "d")]
+    two = [(1, "b"), (7, "c"), (9, "a"), (5, "a")]
+    spark.createDataFrame(two, "doc_id long, text string").write.parquet(str(tmp_path / "two"))
+    first = exact_dedup.exact_groups(spark, spark.createDataFrame(one, "doc_id long, text string"), home, "one").collect()
+    assert sorted((r.keep_id or 0, r.group_size, r.kept) for r in first) == [(0, 1, True), (5, 1, True), (6, 2, False), (6, 2, True)]
+    for _ in range(2):
+        rows = exact_dedup.exact_groups(spark, spark.read.parquet(str(tmp_path / "two")), home, "two").collect()
+        want = Counter({(None, None, 1): 1, (5, 5, 3): 2, (9, 5, 3): 1, (6, 1, 3): 1, (8, 1, 3): 1, (1, 1, 3): 1, (7, 7, 1): 1})
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in rows) == want
+        kept = [r.text_sha256 for r in rows if r.kept]
+        assert len(kept) == len(set(kept)) == 4
+
+
+def test_deduplicated_keeps_columns_of_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", "x"), (2, "a  b", "y"), (2, "a\tb", "z")], "doc_id long, text string, _metadata string")
+    got = exact_dedup.deduplicated(spark, df)
+    assert got.schema == df.schema and [tuple(r) for r in got.collect()] == [(1, "a b", "x")]
+    df.withColumnRenamed("_metadata", "row").coalesce(1).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert [tuple(r) for r in exact_dedup.deduplicated(spark, read).collect()] == [(1, "a b", "x")]
 
 
 # tokens

@@ -39,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in one folder an application, which ``cleared`` deletes."""
+    return f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +54,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reaches."""
+    store, where = _files(spark, path)
+    return store.exists(where)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes what this application's operators have written to the shared folder; their results can no longer be read then."""
+    store, where = _files(spark, f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}")
+    store.delete(where, True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
