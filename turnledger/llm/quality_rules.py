@@ -10,6 +10,8 @@ more than a part of their words are rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.col("text"), "\n"), lambda line: F.translate(line, SPACES, "") != "")
     own = own.withColumn("words", words_of(F.col("text"))).withColumn("lines", lines)
     return own.select(
-        "row_id", "doc_id", "host", F.xxhash64("text").alias("digest"),
+        "row_id", "doc_id", "host", F.xxhash64("text").alias("digest"), F.sha2("text", 256).alias("text_sha256"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -126,29 +128,42 @@ def judged(docs: DataFrame, min_texts: int = MIN_LINE_TEXTS, max_share: float =
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words")))
 
 
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose forms have these hashes; the other lines stay as they are."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(hashes, F.xxhash64(line_form(line)))), "\n")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, **limits) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the statistics, removed_words, base_failed, kept.
+    """One row per row of ``docs``: doc_id, the statistics, removed_words, base_failed, kept, left_sha256.
 
-    Null and empty texts have no words and fail the base rules. A null source
-    is a host of its own. Repeated rows are judged alike. An empty table gives
+    left_sha256 is the digest of the text without its frequent lines. Null and
+    empty texts have no words and fail the base rules; a text of any length is
+    read whole. A null source is a host of its own, and a null doc_id a
+    document like others. Repeated rows are judged alike. An empty table gives
     an empty result; other columns are not looked at. ``limits`` are those of
     ``judged``.
     """
-    return judged(docs, **limits).select(
-        "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"
+    rows = judged(docs, **limits)
+    by = ("doc_id", "host", "digest")
+    cut = rows.where("removed_lines is not null").select(*[F.col(c).alias(f"{c}_") for c in by], "removed_lines").dropDuplicates([f"{c}_" for c in by])
+    text = text_or_empty()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    same = lambda left: reduce(lambda a, b: a & b, [left[c].eqNullSafe(F.col(f"{c}_")) for c in by])
+    left = own.join(cut, same(own)).select(*[f"{c}_" for c in by], F.sha2(without_lines(F.col("text"), F.col("removed_lines")), 256).alias("left_sha256"))
+    left = left.dropDuplicates([f"{c}_" for c in by])
+    return rows.join(left, same(rows), "left").select(
+        "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept",
+        F.coalesce("left_sha256", "text_sha256").alias("left_sha256"),
     )
 
 
-def without_lines(text: Column, hashes: Column) -> Column:
-    """The text without the lines whose forms have these hashes; the other lines stay as they are."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(hashes, F.xxhash64(line_form(line)))), "\n")
-
-
 def passing(spark: SparkSession, docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without their frequent lines, with all their columns.
 
     Rows that share a doc_id stay if one of them is kept. The rules judge the
     texts as they were. n_chars, where it is present, follows a changed text.
+    Null and empty texts go; an empty table gives an empty result; columns of
+    any other name pass as they are.
     """
     rows = judged(docs, **limits).select("doc_id", "host", "kept", "removed_lines")
     # all rows of an id and host have the host's frequent lines, so their hashes can be put together

@@ -22,11 +22,13 @@ f AS (SELECT doc_id, source, t, trim(regexp_replace(regexp_replace(lower(l), '[\
 h AS (SELECT source, count(DISTINCT t) AS host_texts FROM d GROUP BY source),
 q AS (SELECT f.source, form FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source
       GROUP BY f.source, form, host_texts HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.02 * host_texts),
-x AS (SELECT doc_id, sum(lw) AS removed FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source AND f.form = q.form GROUP BY doc_id),
+x AS (SELECT doc_id, sum(lw) AS removed, list(f.form) AS forms FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source AND f.form = q.form GROUP BY doc_id),
 s AS (SELECT d.doc_id, len(w) AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-             CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+             CAST(coalesce(removed, 0) AS BIGINT) AS removed_words,
+             sha256(CASE WHEN forms IS NULL THEN t ELSE array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT list_contains(forms,
+               trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')))), chr(10)) END) AS left_sha256
       FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND removed_words <= 0.5 * n_words AS kept
