@@ -399,15 +399,78 @@ def test_toxicity(spark):
     assert measured(rows, lambda k: int(k % 7 == 0)) > 0.97
 
 
-def test_swaps_take_weight_from_identity_terms(spark):
-    docs, labels = labelled(spark)
+def neutral_and_toxic(n=1500):
+    """Texts in which one identity term stands in toxic texts alone, and a cue word in two thirds of these."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(300)]
+    texts, label = [], []
+    for k in range(n):
+        text, bad = list(rng.choice(words, 30)), k % 5 == 0
+        if bad:
+            text[4] = "muslim"
+            if k % 3:
+                text[9] = "scoundrel"
+        texts.append(" ".join(text).encode())
+        label.append(int(bad))
     reader = toxicity.Words()
-    table = docs.join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
-    rows = pd.DataFrame({"label": table.toxic, "words": [reader.of([t.encode()])[1].view(np.int64) for t in table.text]})
-    neutral = [b"the muslim baker smiled", b"the hindu baker smiled", b"the baker smiled"]
-    gap = lambda m: abs(m(neutral)[0] - m(neutral)[2])
-    plain, regular = toxicity.fit_words(rows, swap=0.0), toxicity.fit_words(rows, swap=50.0)
-    assert gap(regular) <= 0.5 * gap(plain) + 1e-6
+    return words, pd.DataFrame({"label": label, "words": [reader.of([t])[1].view(np.int64) for t in texts]})
+
+
+def test_neutral_mentions_are_not_flagged():
+    """At the production weight no neutral sentence of any term of any family is flagged, while the cue still is."""
+    words, rows = neutral_and_toxic()
+    model = toxicity.fit_words(rows)
+    terms = [t for family in toxicity.FAMILIES for t in family]
+    neutral = [" ".join([*words[:20], t]).encode() for t in terms] + [" ".join(words[:20]).encode()]
+    assert (model(neutral) < 0.25).all()
+    assert (model([" ".join([*words[:20], "scoundrel", t]).encode() for t in ["", *terms]]) > 0.5).all()
+    plain = toxicity.fit_words(rows, swap=0.0)
+    assert plain([" ".join([*words[:20], "muslim"]).encode()])[0] > 0.9
+
+
+def test_counterfactuals_are_real_sentences():
+    """Scores of swapped and term-free sentences equal those of the sentences themselves, and slopes are those of the loss."""
+    families = [np.array([0, 1, 2])]
+    sentences = [[0, 3], [1, 2, 4], [3, 4], [2]]
+    row = np.repeat(np.arange(4), [2, 3, 2, 1])
+    column = np.concatenate(sentences)
+    c = toxicity.Counterfactuals(row, column, families, 5, 4, 2.0)
+    w = np.array([0.7, -0.4, 1.1, 0.3, -0.9])
+    margin = lambda v: np.array([v[s].sum() for s in sentences])
+    want = {}
+    for i, s in enumerate(sentences):
+        for t in [t for t in s if t < 3]:
+            for b in [None, *[b for b in range(3) if b != t]]:
+                other = sorted({*s, b} - {t, None})
+                want.setdefault(i, []).append(toxicity.sigmoid(w[s].sum()) - toxicity.sigmoid(w[other].sum()))
+    got = c.scores(w, margin(w))[0]
+    assert [sorted(got[c.row == i].round(9)) for i in (0, 1, 3)] == [sorted(np.round(want[i], 9)) for i in (0, 1, 3)]
+    change, s_slope, t_slope = c.scores(w, margin(w))
+    moved, direct = c.spread(2 * c.cost * change, s_slope, t_slope)
+    slope = np.bincount(column, weights=moved[row], minlength=5) + direct
+    for k in range(5):
+        e = np.eye(5)[k] * 1e-6
+        assert slope[k] == pytest.approx((c.loss(w + e, margin(w + e)) - c.loss(w - e, margin(w - e))) / 2e-6, abs=1e-6)
+
+
+def test_classifiers_on_the_labels_of_the_tables(spark):
+    """Held-out accuracy on the labels of sf0.1, whose quarter million words and 4,000 labels are enough to learn from."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    truth = {r.doc_id: r for r in labels.collect()}
+    for score, name, least in ((quality_fm.quality, "quality", 0.97), (toxicity.toxicity, "toxic", 0.97)):
+        rows = [r for r in score(docs, labels).collect() if r.held_out and r.doc_id in truth]
+        right = [r.predicted == truth[r.doc_id][name] for r in rows]
+        assert len(rows) > 500 and np.mean(right) > least, (name, np.mean(right))
+
+
+def test_repeated_labelled_rows_give_one_fit(spark):
+    docs, labels = labelled(spark, 400)
+    more = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("zzz other text")))
+    a = toxicity.toxicity(more, labels).orderBy("doc_id", "score").collect()
+    b = toxicity.toxicity(more.orderBy(F.desc("text")).repartition(3), labels).orderBy("doc_id", "score").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
 
 
 @pytest.mark.parametrize("score", [quality_fm.quality, toxicity.toxicity])

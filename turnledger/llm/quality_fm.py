@@ -131,9 +131,11 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, thresh
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
     Learns from ``labels.quality`` of rows outside the held-out fold, at most
-    about ``most`` of them. Null texts are empty; an empty text has the score
-    of its bins. Without labels every score is 0.5. Repeated rows are scored
-    each; other columns are not looked at.
+    about ``most`` of them, a doc_id that repeats with its smallest text. Null
+    texts are empty; an empty text has the score of its bins; a text of any
+    length is scored whole. Without labels every score is 0.5. Repeated rows
+    are scored each; an empty table gives an empty result; other columns are
+    not looked at.
     """
     machine = fitted(docs, labels, "quality", featured, "label_id long, label int, columns array<int>, values array<float>", fit, most)
     return scored(docs, machine, threshold)

@@ -64,7 +64,7 @@ def counted(model, texts: list[str], call_bytes: int = CALL_BYTES) -> np.ndarray
         for part in split(text):
             parts.append(part)
             owner.append(k)
-            held += len(part)
+            held += len(part) if part.isascii() else len(part.encode())
             if held >= call_bytes:
                 flush()
     flush()
@@ -74,8 +74,10 @@ def counted(model, texts: list[str], call_bytes: int = CALL_BYTES) -> np.ndarray
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row; null texts count as empty, which have no tokens.
 
-    ``model_path`` is a sentencepiece model that every executor can read.
-    Repeated rows are counted each; other columns are not looked at.
+    ``model_path`` is a sentencepiece model that every executor can read. A
+    text of any length is counted whole, and special strings in it are plain
+    text. Repeated rows are counted each; an empty table gives an empty result;
+    other columns are not looked at.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
