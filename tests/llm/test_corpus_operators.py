@@ -185,6 +185,15 @@ def test_mixed_rows(spark, unique):
     assert rows.columns == unique.columns and all(count[i] == n for i, n in taken.items())
 
 
+def test_leaves_make_the_draws(spark, unique, monkeypatch):
+    """Without leaves nothing is drawn; with the tree's, each shard has the blocks its leaf says, and each draw is in one shard."""
+    rows, uses = mixing.mix(spark, unique, shards=5)
+    twice = uses.groupBy("row_id", "epoch").count().where("count > 1").count()
+    assert twice == 0 and {r.shard for r in uses.select("shard").distinct().collect()} <= set(range(5))
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: np.zeros((shards, len(quotas)), dtype=np.int64))
+    assert mixing.taken_words(spark, unique).where("taken > 0").count() == 0
+
+
 def test_splitting_tree():
     quotas = np.array([1000, 10, 0, 333])
     tree = mixing.split_tree(quotas, 7, 3)

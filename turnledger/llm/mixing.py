@@ -8,13 +8,13 @@
    nor the documents of a block are many, whichever source holds most rows.
    Whole epochs take every block; the partial epoch takes permuted blocks that
    fit the words left, and at last single documents of one more block.
-3. The exact numbers of block draws of all sources are split among the output
-   shards by a binary tree: at each node a multivariate-hypergeometric draw
-   tells how many blocks of each source go left. The leaves add up to the
-   quotas exactly.
-4. Each source's draws are permuted and dealt out in runs as long as the
-   leaves say, so that shards hold disjoint draws; rows are shuffled in their
-   shard by a hash.
+3. The exact block quotas of all sources are split among the output shards by a
+   binary tree: at each node a multivariate-hypergeometric draw tells how many
+   blocks of each source go left. The leaves add up to the quotas exactly.
+4. The leaves make the draws: a shard takes as many places of a source's permuted
+   blocks as its leaf says, next to those of the shard before, so draws are
+   disjoint. What no leaf takes is not drawn. Rows are shuffled in their shard
+   by a hash.
 
 Texts are never moved here: all steps work on identifiers and sizes. The tree
 works on one number a source.
@@ -90,7 +90,7 @@ def swapped(words: np.ndarray, chosen: np.ndarray, left: int, most: int = 16) ->
 
 
 def take_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
-    """The draws of one source from its blocks in permuted order: epoch, block, words still wanted of it (-1: all)."""
+    """The blocks of one source that make up its quota, in permuted order: epoch, block, words still wanted of it (-1: all)."""
     blocks = blocks.sort_values(["place", "block"], kind="stable")
     size, target = int(blocks["words"].sum()), float(blocks["target"].iloc[0])
     draws, left, epoch = [], round(target), 0
@@ -174,18 +174,22 @@ def mix(
     blocks = blocks.withColumn("place", place(F.lit("block"), "sid", "block"))
     draws = blocks.groupBy("sid").applyInPandas(take_blocks, "sid int, epoch int, block long, wanted long")
     in_source = Window.partitionBy("sid").orderBy(place(F.lit("draw"), "sid", "epoch", "block"), "epoch", "block")
-    draws = written(draws.withColumn("rank", F.row_number().over(in_source) - 1), "mix-draws")
+    permuted = written(draws.withColumn("rank", F.row_number().over(in_source) - 1), "mix-permuted")
 
     def tree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quotas = pd.concat([pd.DataFrame({"sid": [], "n": []}), *batches]).sort_values("sid")
         if len(quotas):
-            ends = split_tree(quotas["n"].to_numpy(), shards, seed).cumsum(axis=0).T
-            yield pd.DataFrame({"sid": quotas["sid"].astype(int), "ends": ends.tolist()})
-
-    ends = draws.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).coalesce(1).mapInPandas(tree, "sid int, ends array<long>")
-    dealt = draws.join(ends, "sid").select(
-        "sid", "epoch", "block", "wanted", F.size(F.filter("ends", lambda end: end <= F.col("rank"))).alias("shard")
-    )
+            last = split_tree(quotas["n"].to_numpy(), shards, seed).cumsum(axis=0)
+            first = np.vstack([np.zeros_like(last[:1]), last[:-1]])
+            shard, source = np.nonzero(last > first)
+            sid = quotas["sid"].to_numpy().astype(int)[source]
+            yield pd.DataFrame({"sid": sid, "shard": shard, "first": first[shard, source], "last": last[shard, source]})
+
+    # one number a source goes through the tree, whatever the number of rows
+    quotas = permuted.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).coalesce(1)
+    leaves = quotas.mapInPandas(tree, "sid int, shard int, first long, last long")
+    places = leaves.select("sid", "shard", F.explode(F.sequence("first", F.col("last") - 1)).alias("rank"))
+    dealt = permuted.join(places, ["sid", "rank"]).drop("rank")
     uses = rows.select("row_id", "doc_id", "sid", "size", "block").join(dealt, ["sid", "block"])
     parted = uses.where("wanted >= 0").withColumn("place", place(F.lit("doc"), "doc_id"))
     parted = parted.groupBy("sid", "block").applyInPandas(take_docs, "row_id long, epoch int")
@@ -195,7 +199,11 @@ def mix(
 
 
 def taken_words(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, shards (of its uses)."""
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, shards (of its uses).
+
+    Null, empty and repeated rows are as in ``mix``. An empty table gives an
+    empty result; other columns are not looked at.
+    """
     rows, uses = mix(spark, docs, **options)
     used = uses.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("shard")).alias("shards"))
     none = F.array().cast("array<int>")
@@ -210,8 +218,10 @@ def mixed(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, part_words
 
     Uses are brought to documents by doc_id, so a table that repeats doc_ids
     has its repeated rows taken as one document. A shard of more than about
-    ``part_words`` words is written in several parts, so partitions keep their
-    size however large the mix is.
+    ``part_words`` words is written in several parts, each a partition of its own
+    number, so partitions keep their size however large the mix is and none
+    has two parts. Null, empty and repeated rows are as in ``mix``; an empty
+    table gives an empty result; columns of any name pass.
     """
     columns = docs.columns
     rows, uses = mix(spark, docs, shards=shards, **options)
@@ -222,5 +232,5 @@ def mixed(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, part_words
     drawn = drawn.select(F.col("doc_id").alias("use_id"), "use")
     own = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].cast("long").alias("use_id_"))
     out = own.join(drawn, F.col("use_id_").eqNullSafe(F.col("use_id"))).select("row", "use.shard", "use.order_key")
-    out = out.withColumn("slice", F.pmod(F.col("order_key"), F.lit(slices)).cast("int"))
-    return out.repartition(shards * slices, "shard", "slice").sortWithinPartitions("shard", "slice", "order_key").select("row.*")
+    part = (F.col("shard") * slices + F.pmod(F.col("order_key"), F.lit(slices))).cast("int")
+    return out.withColumn("part", part).repartitionById(shards * slices, "part").sortWithinPartitions("order_key").select("row.*")
