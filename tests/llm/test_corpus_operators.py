@@ -343,13 +343,26 @@ def cut(rows):
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_repeats(spark, unique, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(repeats, "MERGE_CONTEXTS", hot)
     monkeypatch.setattr(repeats, "CHUNK_SYMBOLS", 500)
     want = cut([(r.doc_id, r.text) for r in unique.select("doc_id", "text").collect()])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(spark, unique).collect()}
     assert got == want and sum(v[1] for v in want.values()) > 10_000
 
 
+def test_hot_minimisers_are_split(spark, monkeypatch):
+    """One passage between many different neighbours, with its own edges cut: every split keeps equal strings together."""
+    monkeypatch.setattr(repeats, "MERGE_CONTEXTS", 3)
+    rng = np.random.default_rng(6)
+    passage = bytes(rng.integers(97, 123, 180, dtype=np.uint8)).decode()
+    filler = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    tails = [filler(40) for _ in range(4)]
+    rows = [(k, filler(60) + passage[rng.integers(0, 70) : 180 - rng.integers(0, 40)] + tails[k % 4] + filler(50)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(spark, docs).collect()}
+    assert got == cut(rows)
+
+
 def test_repeats_edges(spark, docs, rows):
     got = repeats.without_repeats(spark, docs, keep_text=True).collect()
     assert len(got) == len(rows) and all(hashlib.sha256(r.kept_text).hexdigest() == r.kept_sha256 for r in got)

@@ -8,22 +8,27 @@ smaller doc_id or before it in the same document.
    minimiser at the same place, so strings can only repeat among the starts of
    one minimiser; neighbouring starts with one minimiser form a context, the
    bytes their strings span. No pair of equal strings is missed.
-2. Contexts that are equal as a whole are folded together, first in each batch
-   of texts and then in the shuffle by minimiser: all but the first of them
-   repeat. A passage in a third of all documents so leaves one row a batch.
+2. Contexts that are equal as a whole, known by 128 bits of the SHA-256 digest of
+   their bytes, are folded together, first in each batch of texts and then in the
+   shuffle by minimiser: all but the first of them repeat. A passage in a third
+   of all documents so leaves one row a batch.
 3. Different contexts of one minimiser may share some strings and not others.
    Their bytes, the minimiser's gram as one symbol, are gathered by minimiser
    in bounded chunks and dealt to shards. Each shard has the transform of its
-   strings over an alphabet of 8-grams. The transforms are merged by refining
-   their interleave: each round reads all transforms in the present order,
-   sorts stably by symbol, and so orders suffixes by eight symbols more;
-   boundaries between blocks of equal prefixes carry over, which are the common
-   prefixes. After eight rounds the blocks hold the starts of equal strings;
-   the suffixes of the shards themselves are never sorted again. In a block all
-   starts but the first repeat.
+   strings over an alphabet of 8-grams, which are numbered by their bytes. The
+   transforms are merged by refining their interleave: each round reads all
+   transforms in the present order, sorts stably by symbol, and so orders
+   suffixes by eight symbols more; boundaries between blocks of equal prefixes
+   carry over, which are the common prefixes. After eight rounds the blocks hold
+   the starts of equal strings; the suffixes of the shards themselves are never
+   sorted again. In a block all starts but the first repeat.
 4. A minimiser with very many different contexts, as at the edge of a passage
-   that a part of all documents share, has its starts dealt on by the string,
-   so that no task gathers them all.
+   that a part of all documents share, is split before the merge: its starts by
+   halves of the places that the gram can have in a string, and by the bytes that
+   all strings of a half have around the gram. Equal strings stay together, and
+   the parts are folded and counted like contexts; what is still too large is
+   halved again. At one place a part is a single string, which is folded, so
+   every part comes to fit.
 5. The runs of repeated starts go to their documents, whose covered bytes are cut.
 """
 
@@ -47,8 +52,8 @@ INDEX_BITS = 24
 SEGMENT = 1 << 22
 CHUNK_SYMBOLS = 60_000
 SHARDS = 4
-#: Contexts of one minimiser that one task merges; above it starts are dealt by their strings.
-HOT_CONTEXTS = 8_000
+#: Different contexts of one minimiser that are merged as they are; those of a larger one are split first.
+MERGE_CONTEXTS = 8_000
 LAST = (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(10)
@@ -75,6 +80,13 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(x) - width + 1], least[width - span :]) if width > span else least
 
 
+def digests(parts: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits by which contexts (bytes, and the place of the gram in them) are known."""
+    sha = hashlib.sha256
+    both = np.frombuffer(b"".join([sha(x).digest()[:16] for x in parts]), dtype=np.uint64).reshape(-1, 2)
+    return both[:, 0] ^ mixed(place.astype(np.uint64) + _M[0]), both[:, 1]
+
+
 class Contexts:
     """Cuts texts into contexts."""
 
@@ -87,7 +99,7 @@ class Contexts:
         self.inverse = np.concatenate([one, np.cumprod(np.full(n, _INVERSE))])
 
     def of(self, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-        """Of each segment: hash of the minimiser, hash of the context, first start, number of starts, place of the gram."""
+        """Of each segment: hash of the minimiser, digest of the context (two parts), first start, number of starts, place of the gram."""
         for base in range(0, max(0, len(text) - LENGTH + 1), SEGMENT):
             data = np.frombuffer(text[base : base + SEGMENT + LENGTH - 1], dtype=np.uint8)
             n = len(data)
@@ -101,13 +113,12 @@ class Contexts:
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             last = np.append(first[1:], len(at))
             place = at[first] - first
-            whole = (total[last + LENGTH - 1] - total[first]) * self.inverse[first]
             number = last - first
-            whole = mixed(whole + place.astype(np.uint64) * _M[0] + number.astype(np.uint64) * _M[1])
-            yield gram[at[first]], whole, first + base, number, place
+            parts = [text[i:j] for i, j in zip((first + base).tolist(), (last + base + LENGTH - 1).tolist())]
+            yield gram[at[first]], *digests(parts, place), first + base, number, place
 
 
-FOUND = "h long, ctx long, id long, lo int, n int, place int, more_id array<long>, more_lo array<int>"
+FOUND = "h long, c0 long, c1 long, id long, lo int, n int, place int, more_id array<long>, more_lo array<int>"
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +134,11 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner.append(np.full(len(part[0]), ids[k], dtype=np.int64))
         if not parts:
             continue
-        h, ctx, lo, n, place = (np.concatenate(x) for x in zip(*parts))
+        h, c0, c1, lo, n, place = (np.concatenate(x) for x in zip(*parts))
         owner = np.concatenate(owner)
-        key = mixed(h + ctx * _M[2])
-        order = np.argsort(key, kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        order = np.argsort(c0, kind="stable")
+        a, b = c0[order], c1[order]
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         size = np.diff(np.append(begin, len(order)))
         first = order[begin]
         rest = np.ones(len(order), dtype=bool)
@@ -135,10 +146,10 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = order[rest]
         offsets = pa.array(np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32))
         yield pa.RecordBatch.from_arrays([
-            pa.array(h[first].view(np.int64)), pa.array(ctx[first].view(np.int64)), pa.array(owner[first]),
+            pa.array(h[first].view(np.int64)), pa.array(c0[first].view(np.int64)), pa.array(c1[first].view(np.int64)), pa.array(owner[first]),
             pa.array(lo[first].astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(place[first].astype(np.int32)),
             pa.ListArray.from_arrays(offsets, pa.array(owner[others])), pa.ListArray.from_arrays(offsets, pa.array(lo[others].astype(np.int32))),
-        ], names=["h", "ctx", "id", "lo", "n", "place", "more_id", "more_lo"])
+        ], names=["h", "c0", "c1", "id", "lo", "n", "place", "more_id", "more_lo"])
 
 
 class Strings:
@@ -158,10 +169,10 @@ class Strings:
         self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
         self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.size)
         self.offset = np.arange(len(symbol), dtype=np.int32) - self.start[self.owner]
-        code = mixed(symbol + _M[3])
-        for step, factor in ((1, _M[0]), (2, _M[1]), (4, _M[2])):
-            code = code * factor + code[self.shifted(step)]
-        names, code = np.unique(mixed(code), return_inverse=True)
+        # 8-grams are numbered exactly: symbols, then pairs of numbers at distance 1, 2 and 4
+        names, code = np.unique(symbol, return_inverse=True)
+        for step in (1, 2, 4):
+            names, code = np.unique(code * np.int64(len(names)) + code[self.shifted(step)], return_inverse=True)
         self.code = code.astype(np.uint16 if len(names) <= 1 << 16 else np.int32)
         self.before = self.shifted(-STEP)
 
@@ -232,8 +243,9 @@ def merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     symbols, key = 0, None
 
     def done() -> pa.RecordBatch:
-        h, ids, lo, n, place, texts = held
-        group = np.unique(np.array(h, dtype=np.int64), return_inverse=True)[1]
+        _, ids, lo, n, place, texts = held
+        seen: dict[bytes, int] = {}
+        group = [seen.setdefault(t[p : p + GRAM], len(seen)) for t, p in zip(texts, place)]
         found = repeated(texts, group, place, ids, lo, n)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32))], names=["id", "s", "n"])
 
@@ -266,6 +278,32 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["h", "id", "lo", "n", "place", "bytes"])
 
 
+PART = "h long, c0 long, c1 long, id long, lo int, n int, place int, bytes binary"
+
+
+def halved(width: int):
+    """Splits contexts into those whose starts have the gram at one of ``width`` places, by place and by the bytes around the gram that all such strings have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, out = [], [[] for _ in range(5)]
+            for _, ident, lo, n, place, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for low in range(max(0, place - n + 1) // width * width, place + 1, width):
+                    first, last = max(0, place - low - width + 1), min(n - 1, place - low)
+                    around = data[place - low : place - low + LENGTH + 1 - width]
+                    key.append(hashlib.sha256(around + bytes([low])).digest()[:8])
+                    for x, y in zip(out, (ident, lo + first, last - first + 1, place - first, data[first : last + LENGTH])):
+                        x.append(y)
+            if key:
+                names = np.frombuffer(b"".join(key), dtype=np.int64)
+                c0, c1 = digests(out[4], np.array(out[3]))
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                columns = [pa.array(names), pa.array(c0.view(np.int64)), pa.array(c1.view(np.int64)), *(pa.array(x, t) for x, t in zip(out, types))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "c0", "c1", "id", "lo", "n", "place", "bytes"])
+
+    return run
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -309,21 +347,39 @@ def identified(docs: DataFrame) -> DataFrame:
     return written(sorted_.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text"), "repeats-numbered")
 
 
-def string_runs(reps: DataFrame) -> DataFrame:
-    """Runs of the repeated starts among hot contexts (id, lo, n, bytes), dealt by the strings themselves."""
-    starts = reps.select("id", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    starts = starts.select("id", (F.col("lo") + F.col("k")).alias("s"), F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)).alias("string"))
-    first = starts.groupBy("string").agg(F.min(F.struct("id", "s")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    return starts.join(first, "string").where(F.struct("id", "s") != F.col("first")).select("id", "s", F.lit(1).alias("n"))
+CONTEXT = ("h", "id", "lo", "n", "place", "bytes")
+
+
+def split_hot(cut: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contexts (h, id, lo, n, place, bytes) of which no minimiser, or part of one, has too many, and the runs that fell to folding."""
+    runs, width = cut.where("false").select("id", F.col("lo").alias("s"), "n"), LENGTH - GRAM + 1
+    ready = cut.join(hot, cut["h"] == hot["hot"], "left_anti")
+    open_ = cut.join(hot, cut["h"] == hot["hot"], "left_semi")
+    while not hot.isEmpty():
+        width //= 2
+        parts = written(open_.select(*CONTEXT).mapInArrow(halved(width), PART), "repeats-parts")
+        same = ["h", "c0", "c1"]
+        first = parts.groupBy(*same).agg(F.min(F.struct("id", "lo")).alias("first"))
+        placed = written(parts.join(first, same), "repeats-folded")
+        runs = runs.unionByName(placed.where(F.struct("id", "lo") != F.col("first")).select("id", F.col("lo").alias("s"), "n"))
+        reps = placed.where(F.struct("id", "lo") == F.col("first")).select(*CONTEXT)
+        several = written(reps.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "repeats-several")
+        # at one place the contexts of a part are equal, so nothing is left of it here
+        hot = several.where(F.col("contexts") > MERGE_CONTEXTS).select(F.col("h").alias("hot"))
+        usual = several.where(F.col("contexts") <= MERGE_CONTEXTS).select(F.col("h").alias("hot"))
+        ready = ready.unionByName(reps.join(usual, reps["h"] == usual["hot"], "left_semi"))
+        open_ = reps.join(hot, reps["h"] == hot["hot"], "left_semi")
+    return ready, runs
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
     """Runs (id, s, n) of starts whose strings start earlier; ``texts`` has id and text as bytes."""
     found = texts.where(F.length("text") >= LENGTH).select("id", "text").mapInArrow(contexts, FOUND)
-    same_gram = Window.partitionBy("h").orderBy("ctx", "id", "lo")
-    near = found.withColumns({"prior": F.lag("ctx").over(same_gram), "next": F.lead("ctx").over(same_gram)})
+    same_gram = Window.partitionBy("h").orderBy("c0", "c1", "id", "lo")
+    context = F.struct("c0", "c1")
+    near = found.withColumns({"prior": F.lag(context).over(same_gram), "next": F.lead("c0").over(same_gram)})
     near = near.where("prior is not null or next is not null or size(more_id) > 0")
-    near = near.withColumn("first", ~F.col("prior").eqNullSafe(F.col("ctx"))).drop("prior", "next")
+    near = near.withColumn("first", ~F.col("prior").eqNullSafe(context)).drop("prior", "next", "c0", "c1")
     near = written(near, "repeats-contexts")
     whole = near.where("not first").select("id", "lo", "n").unionByName(
         near.where("size(more_id) > 0").select(F.inline(F.arrays_zip("more_id", "more_lo")), "n").select(F.col("more_id").alias("id"), F.col("more_lo").alias("lo"), "n")
@@ -336,22 +392,21 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     if wanted.isEmpty():
         return whole
     cut = texts.select("id", "text").join(wanted.hint("shuffle_hash"), "id").mapInArrow(cut_out, CUT)
-    hot = written(several.where(F.col("contexts") > HOT_CONTEXTS).select(F.col("h").alias("hot")), "repeats-hot")
-    some_hot = not hot.isEmpty()
-    if some_hot:
-        cut = written(cut, "repeats-cut")
-    usual = cut.join(hot, F.col("h") == F.col("hot"), "left_anti") if some_hot else cut
-    runs = usual.repartition("h").sortWithinPartitions("h").mapInArrow(merged_runs, RUNS)
-    runs = written(runs, "repeats-runs").unionByName(whole)
-    return runs.unionByName(string_runs(cut.join(hot, F.col("h") == F.col("hot"), "left_semi"))) if some_hot else runs
+    hot = written(several.where(F.col("contexts") > MERGE_CONTEXTS).select(F.col("h").alias("hot")), "repeats-hot")
+    if not hot.isEmpty():
+        cut, folded = split_hot(written(cut, "repeats-cut"), hot)
+        whole = whole.unionByName(folded)
+    runs = cut.repartition("h").sortWithinPartitions("h").mapInArrow(merged_runs, RUNS)
+    return written(runs, "repeats-runs").unionByName(whole)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` the bytes left.
 
     Strings do not cross documents, and are judged on the input. Null texts are
-    empty; texts of under 100 bytes lose nothing. Rows that share a doc_id
-    follow each other in the order of their texts' hashes, and null doc_ids
+    empty; texts of under 100 bytes lose nothing, and those of any length are
+    read whole. Repeated rows are documents of their own: those that share a
+    doc_id follow each other in the order of their texts' hashes, and null doc_ids
     come last. An empty table gives an empty result; other columns are not
     looked at.
     """
