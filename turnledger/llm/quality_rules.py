@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, text_or_empty, written
@@ -28,6 +28,8 @@ MAX_LINE_SHARE = 0.02
 MAX_REMOVED = 0.5
 #: One frequent line may stand in a third of all documents; its rows are joined in so many parts.
 SALTS = 16
+#: What a row is found by again in the texts; rows that agree in it are judged alike.
+KEY = ("doc_id", "host", "digest")
 
 
 def let(value: Column, body) -> Column:
@@ -82,7 +84,7 @@ def line_form(line: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` with the statistics, the digest, the host, and lines (hash, words)."""
+    """One row per row of ``docs`` with the statistics, the digest, the host, and lines (hash of the form, words, digest)."""
     text = text_or_empty()
     own = docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
@@ -91,13 +93,15 @@ def statistics(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.col("text"), "\n"), lambda line: F.translate(line, SPACES, "") != "")
     own = own.withColumn("words", words_of(F.col("text"))).withColumn("lines", lines)
     return own.select(
-        "row_id", "doc_id", "host", F.xxhash64("text").alias("digest"), F.sha2("text", 256).alias("text_sha256"),
+        "row_id", "doc_id", "host", F.xxhash64("text").alias("digest"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.transform("lines", lambda line: F.struct(F.xxhash64(line_form(line)).alias("line"), F.size(words_of(line)).alias("line_words"))).alias("lines"),
+        F.transform("lines", lambda line: F.struct(
+            F.xxhash64(line_form(line)).alias("line"), F.size(words_of(line)).alias("line_words"), F.unhex(F.left(F.sha2(line, 256), F.lit(32))).alias("sha"),
+        )).alias("lines"),
     )
 
 
@@ -113,7 +117,7 @@ def frequent_lines(rows: DataFrame, lines: DataFrame, min_texts: int, max_share:
 def judged(docs: DataFrame, min_texts: int = MIN_LINE_TEXTS, max_share: float = MAX_LINE_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
     """The rows of ``quality_rules`` with their host and removed_lines, the hashes of their frequent lines (null: none)."""
     rows = written(statistics(docs), "rules-rows")
-    lines = rows.select("row_id", "host", "digest", F.inline("lines"))
+    lines = rows.select("row_id", "host", "digest", F.inline("lines")).drop("sha")
     frequent = frequent_lines(rows, lines, min_texts, max_share)
     frequent = frequent.select(
         F.col("host").alias("host_"), F.col("line").alias("line_"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_")
@@ -136,43 +140,37 @@ def without_lines(text: Column, hashes: Column) -> Column:
 def quality_rules(spark: SparkSession, docs: DataFrame, **limits) -> DataFrame:
     """One row per row of ``docs``: doc_id, the statistics, removed_words, base_failed, kept, left_sha256.
 
-    left_sha256 is the digest of the text without its frequent lines. Null and
-    empty texts have no words and fail the base rules; a text of any length is
+    left_sha256 is a digest of what is left without the frequent lines: the
+    SHA-256 digest of the first 32 hex digits of those of the lines with a word
+    that stay, in order. Null and empty texts have no words and fail the base rules; a text of any length is
     read whole. A null source is a host of its own, and a null doc_id a
     document like others. Repeated rows are judged alike. An empty table gives
     an empty result; other columns are not looked at. ``limits`` are those of
     ``judged``.
     """
-    rows = judged(docs, **limits)
-    by = ("doc_id", "host", "digest")
-    cut = rows.where("removed_lines is not null").select(*[F.col(c).alias(f"{c}_") for c in by], "removed_lines").dropDuplicates([f"{c}_" for c in by])
-    text = text_or_empty()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    same = lambda left: reduce(lambda a, b: a & b, [left[c].eqNullSafe(F.col(f"{c}_")) for c in by])
-    left = own.join(cut, same(own)).select(*[f"{c}_" for c in by], F.sha2(without_lines(F.col("text"), F.col("removed_lines")), 256).alias("left_sha256"))
-    left = left.dropDuplicates([f"{c}_" for c in by])
-    return rows.join(left, same(rows), "left").select(
+    removed = F.coalesce("removed_lines", F.array().cast("array<long>"))
+    left = F.filter("lines", lambda line: ~F.array_contains(removed, line["line"]))
+    return judged(docs, **limits).select(
         "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept",
-        F.coalesce("left_sha256", "text_sha256").alias("left_sha256"),
+        F.sha2(F.array_join(F.transform(left, lambda line: F.lower(F.hex(line["sha"]))), ""), 256).alias("left_sha256"),
     )
 
 
 def passing(spark: SparkSession, docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without their frequent lines, with all their columns.
 
-    Rows that share a doc_id stay if one of them is kept. The rules judge the
-    texts as they were. n_chars, where it is present, follows a changed text.
-    Null and empty texts go; an empty table gives an empty result; columns of
-    any other name pass as they are.
+    Each row is judged by its own text, also where doc_ids repeat or are null;
+    rows with the same doc_id, source and text are judged alike. The rules judge
+    the texts as they were. n_chars, where it is present, follows a changed
+    text. Null and empty texts go; an empty table gives an empty result; columns
+    of any other name pass as they are.
     """
-    rows = judged(docs, **limits).select("doc_id", "host", "kept", "removed_lines")
-    # all rows of an id and host have the host's frequent lines, so their hashes can be put together
-    hashes = F.array_distinct(F.flatten(F.collect_list("removed_lines")))
-    rows = rows.groupBy(F.col("doc_id").alias("__id"), F.col("host").alias("__host")).agg(F.max("kept").alias("__kept"), hashes.alias("__lines"))
-    rows = rows.withColumn("__kept", F.max("__kept").over(Window.partitionBy("__id"))).where("__kept")
-    same = docs["doc_id"].cast("long").eqNullSafe(rows["__id"]) & docs["source"].cast("string").eqNullSafe(rows["__host"])
-    cut = F.size("__lines") > 0
-    text = F.when(cut, without_lines(docs["text"], F.col("__lines"))).otherwise(docs["text"])
+    rows = judged(docs, **limits).where("kept").select(*[F.col(c).alias(f"__{c}") for c in KEY], F.col("removed_lines").alias("__lines"))
+    rows = rows.dropDuplicates([f"__{c}" for c in KEY])
+    own = [docs["doc_id"].cast("long"), docs["source"].cast("string"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
+    same = reduce(lambda a, b: a & b, [x.eqNullSafe(rows[f"__{c}"]) for x, c in zip(own, KEY)])
+    cut = rows["__lines"].isNotNull()
+    text = F.when(cut, without_lines(docs["text"], rows["__lines"])).otherwise(docs["text"])
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])

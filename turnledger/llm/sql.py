@@ -27,8 +27,8 @@ s AS (SELECT d.doc_id, len(w) AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]
              len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
              CAST(coalesce(removed, 0) AS BIGINT) AS removed_words,
-             sha256(CASE WHEN forms IS NULL THEN t ELSE array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT list_contains(forms,
-               trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')))), chr(10)) END) AS left_sha256
+             sha256(array_to_string(list_transform(list_filter(ls, lambda l: NOT list_contains(coalesce(forms, []),
+               trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')))), lambda l: left(sha256(l), 32)), '')) AS left_sha256
       FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND removed_words <= 0.5 * n_words AS kept
