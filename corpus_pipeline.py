@@ -17,7 +17,7 @@ from turnledger.llm.mixing import mixed
 from turnledger.llm.quality_rules import passing
 
 #: Similarity of 5-word shingles from which documents are near-duplicates, in per cent.
-NEAR_PERCENT = 85
+NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
