@@ -20,6 +20,17 @@ def decayed(memories: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return memories.withColumn("decay", loss).withColumn("new_confidence", new).withColumn("deleted", F.col("new_confidence") < settings.decay_delete)
 
 
+def decay_applied(memories: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The store after a run of decay: lower confidences, what has been taken so far (decay_applied), and without the rows that fell below the limit.
+
+    A later run takes the whole loss of a row's age again.
+    """
+    before = F.col("decay_applied") if "decay_applied" in memories.columns else F.lit(0.0)
+    rows = decayed(memories.withColumn("decay_applied", before), settings)
+    rows = rows.withColumn("decay_applied", F.col("decay_applied") + F.col("decay")).where(~F.col("deleted"))
+    return rows.withColumn("confidence", F.col("new_confidence")).drop("decay", "new_confidence", "deleted")
+
+
 def merged_value(a: Column, b: Column, length: int = 500) -> Column:
     """The one if they are equal, the longer if it holds the other, else both, cut."""
     return F.when(a == b, a).when(F.contains(b, a), b).when(F.contains(a, b), a).otherwise(F.left(F.concat(a, F.lit("; "), b), F.lit(length)))

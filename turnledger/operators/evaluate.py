@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,33 +26,70 @@ def matches(found: DataFrame, truth: DataFrame) -> DataFrame:
     return f.join(t, ["user_id", "type"]).where(same())
 
 
-def context_precision(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """user_id, n_found, n_matched, precision: the share of found rows that match a truth."""
-    hit = matches(found, truth).select("user_id", F.col("f.memory_id").alias("memory_id")).distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n_matched"))
-    rows = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_found")).join(hit, "user_id", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
-    return rows.withColumn("precision", F.col("n_matched") / F.col("n_found"))
+def content(name: str) -> Column:
+    """Key and value of a struct as one lower-cased text."""
+    return F.lower(F.concat(F.coalesce(F.col(f"{name}.key"), F.lit("")), F.lit(" "), F.coalesce(F.col(f"{name}.value"), F.lit(""))))
 
 
-def context_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """user_id, n_truth, n_matched, recall: the share of truths (id) that a found row matches."""
-    hit = matches(found, truth).select("user_id", F.col("t.id").alias("id")).distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n_matched"))
-    rows = truth.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_truth")).join(hit, "user_id", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
-    return rows.withColumn("recall", F.col("n_matched") / F.col("n_truth"))
+def alike(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """user_id, memory_id, rank, id: found rows and truths of one type of which one's key and value, as one text, holds the other's.
+
+    This is how retrieval is judged; extraction is judged by ``same``.
+    """
+    f = found.select("user_id", "type", "memory_id", "rank", F.struct("key", "value").alias("f"))
+    t = truth.select("user_id", "type", "id", F.struct("key", "value").alias("t"))
+    a, b = content("f"), content("t")
+    return f.join(t, ["user_id", "type"]).where(F.contains(a, b) | F.contains(b, a)).select("user_id", "memory_id", "rank", "id")
 
 
-def reciprocal_rank(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """user_id, n_truth, mrr, and truths found within 1, 3, 5 and 10 places; found rows carry rank."""
-    first = matches(found, truth).groupBy("user_id", F.col("t.id").alias("id")).agg(F.min("f.rank").alias("place"))
-    rows = truth.select("user_id", "id").join(first, ["user_id", "id"], "left")
-    within = [F.sum((F.coalesce("place", F.lit(1 << 30)) <= k).cast("long")).alias(f"found_{k}") for k in (1, 3, 5, 10)]
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_truth"), F.avg(F.coalesce(1.0 / F.col("place"), F.lit(0.0))).alias("mrr"), *within)
+def users_of(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """user_id, n_found, n_truth of every scope that has either."""
+    rows = found.select("user_id", F.lit(1).alias("f"), F.lit(0).alias("t")).unionByName(truth.select("user_id", F.lit(0).alias("f"), F.lit(1).alias("t")))
+    return rows.groupBy("user_id").agg(F.sum("f").alias("n_found"), F.sum("t").alias("n_truth"))
+
+
+def context_precision(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """user_id, n_found, n_matched, precision: the share of found rows that are like a truth, 0 where nothing was found."""
+    hit = alike(found, truth).groupBy("user_id").agg(F.count_distinct("memory_id").alias("n_matched"))
+    rows = users_of(found, truth).join(hit, "user_id", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
+    return rows.select("user_id", "n_found", "n_matched", F.when(F.col("n_found") == 0, 0.0).otherwise(F.col("n_matched") / F.col("n_found")).alias("precision"))
+
+
+def context_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """user_id, n_truth, n_matched, recall: the share of truths (id) that a found row is like, 1 where there is no truth."""
+    hit = alike(found, truth).groupBy("user_id").agg(F.count_distinct("id").alias("n_matched"))
+    rows = users_of(found, truth).join(hit, "user_id", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
+    return rows.select("user_id", "n_truth", "n_matched", F.when(F.col("n_truth") == 0, 1.0).otherwise(F.col("n_matched") / F.col("n_truth")).alias("recall"))
+
+
+def ranking_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """user_id, mrr, avg_position, top_1, top_3, top_5, top_10; found rows carry rank.
+
+    mrr is 1 over the place of the first found row that is like any truth;
+    avg_position the mean over truths of the first row like them, of those that
+    have one; top_k the share of truths with such a row within k places. All are
+    0 where nothing matches, and the shares null where nothing was found or
+    there is no truth.
+    """
+    first = alike(found, truth).groupBy("user_id", "id").agg(F.min("rank").alias("place"))
+    within = [F.sum((F.col("place") <= k).cast("long")).alias(f"k{k}") for k in (1, 3, 5, 10)]
+    by = first.groupBy("user_id").agg(F.min("place").alias("best"), F.avg("place").alias("average"), *within)
+    rows = users_of(found, truth).join(by, "user_id", "left")
+    both = (F.col("n_found") > 0) & (F.col("n_truth") > 0)
+    top = [F.when(both, F.coalesce(f"k{k}", F.lit(0)) / F.col("n_truth")).alias(f"top_{k}") for k in (1, 3, 5, 10)]
+    return rows.select("user_id", F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias("mrr"), F.coalesce("average", F.lit(0.0)).alias("avg_position"), *top)
 
 
 def distance_recall(found: DataFrame, truth: DataFrame, distances: tuple[int, ...], band: int = 2) -> DataFrame:
-    """distance, n_truth, n_found over all scopes: truths whose turn is within ``band`` of now - distance, and those found."""
+    """user_id, distance, expected, found, recall: truths whose turn is within ``band`` of now - distance, and those a found row is like.
+
+    Distances without a truth have no row.
+    """
     at = F.explode(F.filter(F.array(*map(F.lit, distances)), lambda d: F.abs(F.col("turn_number") - (F.col("now") - d)) <= band))
-    hit = matches(found, truth).select("user_id", F.col("t.id").alias("id")).distinct().withColumn("hit", F.lit(1))
-    return truth.withColumn("distance", at).join(hit, ["user_id", "id"], "left").groupBy("distance").agg(F.count(F.lit(1)).alias("n_truth"), F.count("hit").alias("n_found"))
+    hit = alike(found, truth).select("user_id", "id").distinct().withColumn("hit", F.lit(1))
+    rows = truth.withColumn("distance", at).join(hit, ["user_id", "id"], "left")
+    rows = rows.groupBy("user_id", "distance").agg(F.count(F.lit(1)).alias("expected"), F.count("hit").alias("found"))
+    return rows.withColumn("recall", F.col("found") / F.col("expected"))
 
 
 def decay_effect(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -76,10 +115,11 @@ def merging(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def promotion_share(expected: DataFrame, documents: DataFrame) -> DataFrame:
-    """user_id, n_expected, n_promoted: expected rows (key) that stand in a document of their user."""
-    whole = documents.groupBy("user_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list("body"))).alias("core"))
-    rows = expected.join(whole, "user_id", "left").withColumn("there", F.coalesce(F.contains("core", F.col("key")), F.lit(False)).cast("long"))
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_expected"), F.sum("there").alias("n_promoted"))
+    """user_id, n_expected, n_promoted, rate: expected rows (key) that stand in some document of their user, whatever the case."""
+    whole = documents.groupBy("user_id").agg(F.collect_list(F.lower("body")).alias("bodies"))
+    there = F.exists(F.coalesce("bodies", F.array().cast("array<string>")), lambda body: F.contains(body, F.lower(F.coalesce(F.col("key"), F.lit("")))))
+    rows = expected.join(whole, "user_id", "left").withColumn("there", there.cast("long"))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_expected"), F.sum("there").alias("n_promoted"), F.avg("there").alias("rate"))
 
 
 def greedy_extraction(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -104,3 +144,10 @@ def greedy_extraction(found: DataFrame, truth: DataFrame) -> DataFrame:
 def macro(rows: DataFrame, *measures: str) -> DataFrame:
     """The average over scopes of each measure, each scope alike."""
     return rows.agg(*[F.avg(m).alias(m) for m in measures])
+
+
+def suite(parts: dict[str, DataFrame]) -> DataFrame:
+    """metric, value: the averages over scopes of the columns named (part.column) in ``parts``, as one table."""
+    return reduce(DataFrame.unionByName, [
+        rows.agg(F.avg(name.split(".")[1]).alias("value")).select(F.lit(name).alias("metric"), "value") for name, rows in parts.items()
+    ])

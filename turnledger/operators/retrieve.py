@@ -61,10 +61,27 @@ def top(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return active(rows).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(settings.top, settings.token_budget // settings.tokens_per_memory))
 
 
-def hybrid(memories: DataFrame, hits: DataFrame, now: DataFrame, settings: Settings = DEFAULT, signals: int = 5) -> DataFrame:
-    """The whole retrieval for each scope at its turn (``now``: user_id, now)."""
-    rows = memories.join(candidates(memories, hits, settings), ["user_id", "memory_id"]).join(now, "user_id")
-    return top(ranked(rows, settings, signals), settings)
+def hybrid(memories: DataFrame, hits: DataFrame, now: DataFrame, settings: Settings = DEFAULT, signals: int = 5, payload: DataFrame | None = None) -> DataFrame:
+    """The whole retrieval for each scope at its turn (``now``: user_id, now).
+
+    A hit that the store does not hold takes what the vectors carry of it
+    (``payload``: user_id, memory_id, type, key, value, confidence,
+    turn_number), as never accessed; without a payload it is left out.
+    """
+    found = candidates(memories, hits, settings)
+    rows = memories.drop("now").join(found, ["user_id", "memory_id"])
+    if payload is not None:
+        lost = payload.join(memories.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_anti").join(found, ["user_id", "memory_id"])
+        lost = lost.withColumn("access_count", F.lit(0)).withColumn("last_accessed_turn", F.col("turn_number")).withColumn("mention_count", F.lit(1))
+        rows = rows.unionByName(lost, allowMissingColumns=True)
+    return top(ranked(rows.join(now, "user_id"), settings, signals), settings)
+
+
+def retrieved(memories: DataFrame, hits: DataFrame | None = None, now: DataFrame | None = None, settings: Settings = DEFAULT, payload: DataFrame | None = None) -> DataFrame:
+    """Retrieval as the settings have it: with vectors and 5 or 3 signals, or the basic form where these are off or there are no hits."""
+    if settings.semantic and hits is not None and now is not None:
+        return hybrid(memories, hits, now, settings, settings.signals, payload)
+    return basic(memories, settings)
 
 
 def basic(memories: DataFrame, settings: Settings = DEFAULT, limit: int = 30) -> DataFrame:

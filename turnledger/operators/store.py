@@ -56,6 +56,13 @@ def counts(memories: DataFrame) -> DataFrame:
     return memories.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_by_type(memories: DataFrame) -> DataFrame:
+    """user_id, by_type: the types that a scope has, with their numbers, as type=n in the order of their names."""
+    by = memories.groupBy("user_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    one = F.concat("type", F.lit("="), F.col("n").cast("string"))
+    return by.groupBy("user_id").agg(F.concat_ws(",", F.array_sort(F.collect_list(one))).alias("by_type"))
+
+
 def by_type_and_key(memories: DataFrame, kind: str, key: str) -> DataFrame:
     return memories.where((F.col("type") == kind) & (F.col("key") == key))
 
@@ -108,6 +115,12 @@ def with_access(memories: DataFrame, hits: DataFrame) -> DataFrame:
     }).drop("k", "at")
 
 
+def with_recency(memories: DataFrame, seen: DataFrame) -> DataFrame:
+    """Sets the recency of the rows of ``seen`` (memory_id, at); of several the last counts."""
+    last = seen.groupBy("memory_id").agg(F.max("at").alias("__at"))
+    return memories.join(last, "memory_id", "left").withColumn("recency_ts", F.coalesce("__at", "recency_ts")).drop("__at")
+
+
 def with_field(memories: DataFrame, ids: DataFrame, name: str, value) -> DataFrame:
     marked = ids.select("memory_id").distinct().withColumn("__hit", F.lit(True))
     return memories.join(marked, "memory_id", "left").withColumn(name, F.when(F.col("__hit"), F.lit(value)).otherwise(F.col(name))).drop("__hit")

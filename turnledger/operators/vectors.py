@@ -6,11 +6,12 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, embed_text, point_id
+from ..functions.text import embed_text, point_id
 
 DIMENSION = 384
 
@@ -57,22 +58,146 @@ def put(points_: DataFrame, new: DataFrame) -> DataFrame:
     return points_.join(last.select("point_id"), "point_id", "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, on: list[str], limit: int, least: float, tie: str = "id") -> DataFrame:
-    """For each query (query_id, vector, and ``on``) its nearest rows (id, vector, and ``on``): score, rank.
+POINT = "point_id decimal(20,0), memory_id string, user_id long, memory_type string, vector array<float>"
 
-    The filter columns are an equi-join; scores below ``least`` go before the
-    ranking, which keeps ``limit`` rows a query in each task before it shuffles.
+
+def created(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """An empty collection; with a path, one on disk that is laid out by type, so a search of some types reads only these."""
+    empty = spark.createDataFrame([], POINT)
+    if path is None:
+        return empty
+    empty.write.mode("overwrite").partitionBy("memory_type").parquet(path)
+    return spark.read.schema(POINT).parquet(path)
+
+
+def saved(points_: DataFrame, path: str, dimension: int = DIMENSION) -> DataFrame:
+    """Adds points to a collection on disk; vectors of another dimension are an error."""
+    checked(points_, dimension).write.mode("append").partitionBy("memory_type").parquet(path)
+    return points_.sparkSession.read.schema(POINT).parquet(path)
+
+
+def recreated(points_: DataFrame, path: str | None = None) -> DataFrame:
+    """The collection dropped and made anew: empty, for all users."""
+    return created(points_.sparkSession, path)
+
+
+def checked(points_: DataFrame, dimension: int = DIMENSION) -> DataFrame:
+    """Points whose vectors have the dimension of the collection; reading others fails."""
+    wrong = F.concat(F.lit(f"a vector of a collection of {dimension} has "), F.size("vector").cast("string"))
+    sound = F.when(F.size("vector") == dimension, F.col("vector")).otherwise(F.raise_error(wrong).cast(points_.schema["vector"].dataType))
+    return points_.withColumn("vector", sound)
+
+
+def indexed(memories: DataFrame, make: Callable = hashing_embedder, dimension: int = DIMENSION) -> DataFrame:
+    """The points of memories: their ids, what a search filters by, and the vectors of their texts."""
+    text = embed_text(F.col("key"), F.col("value"), F.col("type"))
+    rows = embedded(memories.withColumn("__text", text), "__text", make, dimension)
+    return rows.select(point_id(F.col("memory_id")).alias("point_id"), "memory_id", "user_id", F.col("type").alias("memory_type"), F.col("embedding").alias("vector"))
+
+
+def removed(points_: DataFrame, ids: DataFrame) -> DataFrame:
+    """Points without those of the memories ``ids`` (memory_id)."""
+    gone = ids.select(point_id(F.col("memory_id")).alias("point_id")).distinct()
+    return points_.join(gone, "point_id", "left_anti")
+
+
+def counted(points_: DataFrame) -> DataFrame:
+    """n: the points of all users."""
+    return points_.agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Vectors that one task multiplies with as many others.
+BLOCK = 1024
+
+
+def blocks(rows: DataFrame, on: list[str], name: str, size: int = BLOCK) -> DataFrame:
+    """``rows`` (id, vector, and ``on``) in blocks of about ``size``: on, name, name_n (blocks of that group), and arrays of ids and vectors."""
+    sizes = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"{name}_n"))
+    dealt = rows.join(sizes, on).withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"{name}_n")).cast("int"))
+    both = F.collect_list(F.struct("id", F.col("vector").cast("array<double>").alias("v")))
+    return dealt.groupBy(*on, name, f"{name}_n").agg(both.alias(f"{name}_rows"))
+
+
+def unit(rows) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array([r["id"] for r in rows])
+    vectors = np.array([r["v"] for r in rows], dtype=np.float64)
+    norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return ids, vectors / np.where(norm == 0, 1.0, norm)
+
+
+def scored(pairs: DataFrame, least: float, limit: int | None, a_kind: str, b_kind: str) -> DataFrame:
+    """a, b, score of block pairs (a_rows, b_rows): a matrix product a pair of blocks, of which what is below ``least`` goes at once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x, y in zip(frame["a_rows"], frame["b_rows"]):
+                (a, u), (b, v) = unit(x), unit(y)
+                score = u @ v.T
+                keep = score >= least
+                if limit is not None and len(b) > limit:
+                    # ties at the edge stay, so the ranking that follows decides them
+                    edge = np.partition(np.where(keep, score, -np.inf), -limit, axis=1)[:, -limit]
+                    keep &= score >= edge[:, None]
+                i, j = np.nonzero(keep)
+                if len(i):
+                    yield pd.DataFrame({"a": a[i], "b": b[j], "score": score[i, j]})
+
+    return pairs.select("a_rows", "b_rows").mapInPandas(run, f"a {a_kind}, b {b_kind}, score double")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, on: list[str], limit: int, least: float, types: tuple[str, ...] | None = None, tie: str = "id") -> DataFrame:
+    """For each query (query_id, vector, and ``on``) its nearest rows (id, vector, and ``on``): query_id, id, score, rank.
+
+    ``on`` are columns that must be equal, ``types`` the types (memory_type)
+    that count; both are filters before any product. Queries and rows meet in
+    blocks, each pair of blocks in one matrix product; what is below ``least``
+    or not among a block's best goes there. Null vectors match nothing.
     """
-    pairs = queries.withColumnRenamed("vector", "q").join(rows, on).withColumn("score", cosine(F.col("q"), F.col("vector"))).drop("q", "vector")
+    kept = rows.where("vector is not null").withColumn("__all", F.lit(0))
+    if types is not None:
+        kept = kept.where(F.col("memory_type").isin(*types))
+    on = [*on, "__all"]
+    a = blocks(queries.where("vector is not null").withColumn("__all", F.lit(0)).select(*on, F.col("query_id").alias("id"), "vector"), on, "a")
+    b = blocks(kept.select(*on, "id", "vector"), on, "b")
+    pairs = spread(a, b, on)
+    found = scored(pairs, least, limit, queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString())
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie)
-    return pairs.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    found = found.select(F.col("a").alias("query_id"), F.col("b").alias("id"), "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def spread(a: DataFrame, b: DataFrame, on: list[str], half: bool = False) -> DataFrame:
+    """Pairs of blocks of one group: each of ``a`` with all of ``b``, or with ``half`` a table's blocks with themselves and the later ones."""
+    if half:
+        left = a.withColumn("b", F.explode(F.sequence("a", F.col("a_n") - 1)))
+    else:
+        known = a.join(b.groupBy(*on).agg(F.max("b_n").alias("b_n")), on)
+        left = known.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("b_n") - 1))).drop("b_n")
+    return left.join(b.drop("b_n"), [*on, "b"])
+
+
+def similar_pairs(rows: DataFrame, on: list[str], least: float) -> DataFrame:
+    """id, other_id, score of all pairs of rows (id, vector, and ``on``) of one group that are at least so near; other_id is the smaller."""
+    on = [*on, "__all"]
+    kept = rows.where("vector is not null").withColumn("__all", F.lit(0)).select(*on, "id", "vector")
+    a = blocks(kept, on, "a")
+    b = a.select(*on, F.col("a").alias("b"), F.col("a_n").alias("b_n"), F.col("a_rows").alias("b_rows"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = scored(spread(a, b, on, half=True), least, None, kind, kind)
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return found.where("a != b").groupBy(high.alias("id"), low.alias("other_id")).agg(F.max("score").alias("score"))
 
 
 def duplicate_candidates(rows: DataFrame, on: list[str], least: float, limit: int = 5) -> DataFrame:
-    """For each row (id, vector, and ``on``) up to ``limit`` earlier rows that are at least so near: id, other_id, score, rank."""
-    other = rows.select(*on, F.col("id").alias("other_id"), F.col("vector").alias("w"))
-    pairs = rows.join(other, on).where(F.col("other_id") < F.col("id")).withColumn("score", cosine(F.col("vector"), F.col("w"))).where(F.col("score") >= least)
+    """For each row (id, vector, and ``on``) up to ``limit`` earlier rows that are at least so near: on, id, other_id, score, rank."""
+    pairs = similar_pairs(rows, on, least).join(rows.select("id", *on), "id")
     w = Window.partitionBy("id").orderBy(F.col("score").desc(), "other_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(*on, "id", "other_id", "score", "rank")
 
 
+def searched(queries: DataFrame, points_: DataFrame, limit: int = 10, types: tuple[str, ...] | None = None, least: float = 0.0, by_user: bool = True, make: Callable = hashing_embedder, dimension: int = DIMENSION) -> DataFrame:
+    """Search by text: queries (query_id, text, user_id) are embedded as they are, and their nearest points follow: query_id, memory_id, score, rank."""
+    asked = embedded(queries, "text", make, dimension).withColumnRenamed("embedding", "vector")
+    rows = checked(points_, dimension).withColumnRenamed("memory_id", "id")
+    found = nearest(asked, rows, ["user_id"] if by_user else [], limit, least, types)
+    return found.withColumnRenamed("id", "memory_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.model_stage import ASK
 from ..settings import KEYWORDS, MODIFIERS, PATTERNS, PROMOTION_TARGET, SPECIFIC, TYPE_PRIORITY, UPDATES
 from ..sources.conversations import DUCK_RANGE, batch_sql, sweep_sql
 from ..sources.tables import TURNS_SQL
@@ -59,7 +60,7 @@ m AS (SELECT m1.*, now, (m1.turn_number * 7 + len(key)) % 23 AS access_count, m1
       (SELECT arg_max(new_id, seen) FROM l WHERE l.old_id = m1.memory_id) AS superseded_by, (SELECT arg_max(l.old_id, seen) FROM l WHERE l.new_id = m1.memory_id) AS supersedes
       FROM m1 JOIN now USING (user_id)),
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-h0 AS (SELECT m.user_id, memory_id, e1.v AS a, e2.v AS b FROM m JOIN e e1 ON e1.vec_id = (m.turn_number * 31 + len(value)) % 500 JOIN e e2 ON e2.vec_id = m.user_id % 500),
+h0 AS (SELECT m.user_id, memory_id, e1.v AS a, e2.v AS b FROM m JOIN e e1 ON e1.vec_id = (m.turn_number * 31 + len(value)) % (SELECT count(*) FROM e) JOIN e e2 ON e2.vec_id = m.user_id % (SELECT count(*) FROM e)),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, memory_id) AS rn FROM (SELECT user_id, memory_id, {_COS} AS score FROM h0) WHERE score >= 0.1) WHERE rn <= 100),
 late AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recency_ts DESC, memory_id DESC) AS rn FROM m),
 bytype AS (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY recency_ts DESC, memory_id) AS rn FROM m),
@@ -82,12 +83,35 @@ p AS (SELECT *, CASE type {" ".join(f"WHEN {_q(k)} THEN {_q(v[0])}" for k, v in
       CASE type {" ".join(f"WHEN {_q(k)} THEN {_q(v[1])}" for k, v in PROMOTION_TARGET.items())} END AS section, '- **' || key || ':** ' || value AS line
       FROM d WHERE coalesce(superseded_by, '') IN ('', 'None') AND NOT promoted AND confidence >= 0.9 AND mention_count >= 2 AND access_count >= 5 AND now - turn_number >= 10
       AND type IN ('entity', 'preference', 'constraint', 'instruction')),
-mp AS (SELECT a.user_id, a.type, a.memory_id AS a_id, b.memory_id AS b_id, a.now, a.value AS av, b.value AS bv, a.confidence AS ac, b.confidence AS bc,
+live AS (SELECT m.*, v FROM m JOIN e ON vec_id = (turn_number * 31 + len(value)) % (SELECT count(*) FROM e) WHERE coalesce(superseded_by, '') IN ('', 'None')),
+mp AS (SELECT * FROM (SELECT a.user_id, a.type, a.memory_id AS a_id, b.memory_id AS b_id, a.now, a.value AS av, b.value AS bv, a.confidence AS ac, b.confidence AS bc, a.v AS a, b.v AS b,
        a.mention_count + b.mention_count AS mention_count, a.access_count + b.access_count AS access_count, a.key AS ak, b.key AS bk
-       FROM m a JOIN m b ON a.user_id = b.user_id AND a.type = b.type AND a.arrival < b.arrival AND left(a.value, 4) = left(b.value, 4)),
+       FROM live a JOIN live b ON a.user_id = b.user_id AND a.type = b.type AND a.arrival < b.arrival) WHERE {_COS} >= 0.3),
 f AS (SELECT user_id, memory_id, type, key, value, rank, now FROM top5), tr AS (SELECT user_id, arrival AS id, type, key, value, turn_number FROM x),
-mt AS (SELECT f.user_id, f.memory_id, f.rank, tr.id FROM f JOIN tr USING (user_id, type) WHERE contains(lower(f.value), lower(tr.value)) OR contains(lower(tr.value), lower(f.value))
-       OR (f.key <> '' AND tr.key <> '' AND (contains(lower(f.key), lower(tr.key)) OR contains(lower(tr.key), lower(f.key))))),
+mt AS (SELECT f.user_id, f.memory_id, f.rank, tr.id FROM f JOIN tr USING (user_id, type) WHERE contains(lower(f.key || ' ' || f.value), lower(tr.key || ' ' || tr.value)) OR contains(lower(tr.key || ' ' || tr.value), lower(f.key || ' ' || f.value))),
+us AS (SELECT user_id, sum(f)::BIGINT AS n_found, sum(t)::BIGINT AS n_truth FROM (SELECT user_id, 1 AS f, 0 AS t FROM f UNION ALL SELECT user_id, 0, 1 FROM tr) GROUP BY user_id),
+ep AS (SELECT user_id, n_found, coalesce(k, 0) AS n_matched, CASE WHEN n_found = 0 THEN 0.0::DOUBLE ELSE coalesce(k, 0) / n_found END AS precision FROM us LEFT JOIN (SELECT user_id, count(DISTINCT memory_id) AS k FROM mt GROUP BY user_id) USING (user_id)),
+er AS (SELECT user_id, n_truth, coalesce(k, 0) AS n_matched, CASE WHEN n_truth = 0 THEN 1.0::DOUBLE ELSE coalesce(k, 0) / n_truth END AS recall FROM us LEFT JOIN (SELECT user_id, count(DISTINCT id) AS k FROM mt GROUP BY user_id) USING (user_id)),
+fp AS (SELECT user_id, id, min(rank) AS place FROM mt GROUP BY ALL),
+eq AS (SELECT us.user_id, coalesce(1.0::DOUBLE / min(place), 0.0::DOUBLE) AS mrr, coalesce(avg(place), 0.0::DOUBLE) AS avg_position,
+       {", ".join(f"CASE WHEN any_value(n_found) > 0 AND any_value(n_truth) > 0 THEN count(*) FILTER (place <= {k}) / any_value(n_truth) END AS top_{k}" for k in (1, 3, 5, 10))}
+       FROM us LEFT JOIN fp USING (user_id) GROUP BY us.user_id),
+ed AS (SELECT tr.user_id, d AS distance, count(*) AS expected, count(hm.id) AS found, count(hm.id) / count(*) AS recall FROM tr JOIN now USING (user_id) JOIN (SELECT unnest([5, 10, 25, 50]) AS d) ON abs(turn_number - (now - d)) <= 2
+       LEFT JOIN (SELECT DISTINCT user_id, id FROM mt) hm ON hm.user_id = tr.user_id AND hm.id = tr.id GROUP BY tr.user_id, d),
+d1 AS (SELECT *, promoted_ AS promoted FROM (SELECT memory_id, new_confidence AS confidence, decay AS taken, now + 50 AS now, turn_number, last_accessed_turn, promoted AS promoted_ FROM dc WHERE new_confidence >= 0.05)),
+d2 AS (SELECT *, CASE WHEN promoted OR now - turn_number < 20 THEN 0.0::DOUBLE ELSE (now - turn_number) / 100.0::DOUBLE * 0.05::DOUBLE
+      + CASE WHEN now - last_accessed_turn > 10 THEN (now - last_accessed_turn - 10) / 100.0::DOUBLE * 0.05::DOUBLE * 0.5::DOUBLE ELSE 0.0::DOUBLE END END AS decay FROM d1),
+doc AS (SELECT user_id, file, '## ' || section || chr(10) || string_agg(line, chr(10) ORDER BY arrival DESC) AS body FROM p GROUP BY user_id, file, section),
+pt AS (SELECT memory_id, CAST(concat('0x', substr(md5(memory_id), 1, 16))::UBIGINT AS VARCHAR) AS point_id, concat_ws(' | ', nullif(key, ''), nullif(value, ''), 'type: ' || nullif(type, '')) AS text FROM m),
+sk AS (SELECT ts.user_id, ts.turn_number, ts.text, hint, score >= 0.3 AND CASE WHEN coalesce(k, 0) = 0 THEN score > 0.5 ELSE best < 0.7 END AS needs_model FROM ts LEFT JOIN
+       (SELECT x.user_id, x.turn_number, count(*) AS k, max(confidence) AS best, arg_min(type, arrival) AS hint FROM x JOIN ts USING (user_id, turn_number) WHERE score >= 0.3 GROUP BY ALL) USING (user_id, turn_number)),
+cb AS (SELECT user_id, turn_number, coalesce(nullif(concat_ws(chr(10), lag(text, 2) OVER w, lag(text) OVER w), ''), 'No prior context') AS context FROM t WINDOW w AS (PARTITION BY user_id ORDER BY turn_number)),
+bs AS (SELECT memory_id, 1.0::DOUBLE AS s, 1 AS branch FROM bytype WHERE type IN ('constraint', 'instruction') AND rn <= 20
+        UNION ALL SELECT memory_id, 0.5::DOUBLE * pow(0.9::DOUBLE, rn - 1), 2 FROM late WHERE rn <= 30 AND type NOT IN ('constraint', 'instruction')),
+pl AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recency_ts DESC, memory_id DESC) AS rl, row_number() OVER (PARTITION BY user_id, type ORDER BY recency_ts DESC, memory_id) AS rt FROM m WHERE turn_number % 6 <> 0),
+pb AS (SELECT user_id, memory_id, score AS s, 1 AS branch FROM h UNION ALL SELECT user_id, memory_id, 0.15::DOUBLE, 2 FROM pl WHERE rl <= 50
+       UNION ALL SELECT user_id, memory_id, 0.5::DOUBLE, 3 FROM pl WHERE type IN ('constraint', 'instruction') AND rt <= 20 UNION ALL SELECT user_id, memory_id, 0.3::DOUBLE, 4 FROM pl WHERE type = 'entity' AND rt <= 10),
+pc AS (SELECT user_id, memory_id, CASE WHEN bool_or(branch = 3) THEN greatest(arg_min(s, branch), 0.5::DOUBLE) ELSE arg_min(s, branch) END AS semantic_score, min(branch) AS branch FROM pb GROUP BY user_id, memory_id),
 ev AS (SELECT vec_id AS id, v, label FROM e)
 """
 
@@ -126,7 +150,30 @@ FINAL = {
     "memory_embed_text": "SELECT memory_id, concat_ws(' | ', nullif(key, ''), nullif(value, ''), 'type: ' || nullif(type, '')) AS text FROM m",
     "cosine_similarity": f"SELECT id, other_id, round(greatest(0, least(1, {_COS})), 6) AS score FROM (SELECT x1.id, x2.id AS other_id, x1.v AS a, x2.v AS b FROM ev x1 JOIN ev x2 ON x1.label = x2.label AND x2.id = x1.id + 10)",
     "knn_filtered": f"SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, {_COS} AS score FROM (SELECT q.id AS query_id, x1.id, q.v AS a, x1.v AS b FROM ev q JOIN ev x1 USING (label) WHERE q.id % 100 = 0)) WHERE score >= 0.1) WHERE rank <= 10",
-    "knn_threshold_pairs": f"SELECT id, other_id, round(score, 6) AS score FROM (SELECT id, other_id, {_COS} AS score FROM (SELECT x1.id, x2.id AS other_id, x1.v AS a, x2.v AS b FROM ev x1 JOIN ev x2 ON x1.label = x2.label AND x2.id < x1.id)) WHERE score >= 0.3",
+    "knn_all": f"SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, {_COS} AS score FROM (SELECT q.id AS query_id, x1.id, q.v AS a, x1.v AS b FROM ev q JOIN ev x1 ON true WHERE q.id % 100 = 0)) WHERE score >= 0.1) WHERE rank <= 10",
+    "knn_types": f"SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, {_COS} AS score FROM (SELECT q.id AS query_id, x1.id, q.v AS a, x1.v AS b FROM ev q JOIN ev x1 ON true WHERE q.id % 100 = 0 AND x1.label IN (1, 3, 5))) WHERE score >= 0.1) WHERE rank <= 10",
+    "knn_threshold_pairs": f"SELECT id, other_id, round(score, 6) AS score FROM (SELECT id, other_id, {_COS} AS score FROM (SELECT x1.id, x2.id AS other_id, x1.v AS a, x2.v AS b FROM ev x1 JOIN ev x2 ON x2.id < x1.id)) WHERE score >= 0.3",
+    "clear_all": "SELECT user_id, memory_id FROM m WHERE false",
+    "point_upsert": "SELECT memory_id, point_id, CASE WHEN len(text) % 4 = 0 THEN upper(text) ELSE text END AS text FROM pt",
+    "point_delete": "SELECT memory_id, point_id FROM pt WHERE memory_id NOT IN (SELECT memory_id FROM m WHERE turn_number % 5 = 0)",
+    "point_count": "SELECT count(*) AS n FROM pt",
+    "decay_runs": "SELECT memory_id, round(CASE WHEN decay > 0 THEN greatest(0.1::DOUBLE, confidence - decay) ELSE confidence END, 6) AS confidence, round(taken + decay, 6) AS decay_applied FROM d2 WHERE CASE WHEN decay > 0 THEN greatest(0.1::DOUBLE, confidence - decay) ELSE confidence END >= 0.05",
+    "core_memory_prompt": "SELECT user_id, string_agg('=== ' || file || ' ===' || chr(10) || body || chr(10), chr(10) ORDER BY list_position([" + ", ".join(_q(v[0]) for v in PROMOTION_TARGET.values()) + "], file)) AS core FROM doc GROUP BY user_id",
+    "stage_merge": """, two AS (SELECT user_id, turn_number, type, key, arg_max(value, arrival) AS value, arg_max(confidence, arrival) AS confidence FROM s GROUP BY ALL),
+        three AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, turn_number, type, key ORDER BY confidence DESC, arrival) AS rn FROM (SELECT user_id, turn_number, type, key, value, confidence + 0.01::DOUBLE AS confidence, arrival FROM s WHERE turn_number % 3 = 0)) WHERE rn = 1)
+        SELECT user_id, turn_number, type, key, CASE WHEN w THEN v3 ELSE v2 END AS value, round(CASE WHEN w THEN c3 ELSE c2 END, 6) AS confidence, CASE WHEN w THEN 3 ELSE 2 END AS stage FROM
+        (SELECT two.user_id, two.turn_number, two.type, two.key, two.value AS v2, two.confidence AS c2, three.value AS v3, three.confidence AS c3, coalesce(three.confidence, -1.0::DOUBLE) > two.confidence AS w
+         FROM two LEFT JOIN three USING (user_id, turn_number, type, key))""",
+    "llm_prompt": "SELECT user_id, turn_number, md5(prompt) AS prompt_md5, len(prompt) AS prompt_length FROM (SELECT sk.user_id, sk.turn_number, " + _q(ASK) + " || context || chr(10) || chr(10) || 'Message:' || chr(10) || text || coalesce(chr(10) || chr(10) || 'HINT: ' || hint, '') AS prompt FROM sk JOIN cb USING (user_id, turn_number) WHERE needs_model)",
+    "llm_parse": "SELECT user_id, turn_number, 'mem_' || turn_number || '_' || (row_number() OVER (PARTITION BY user_id, turn_number ORDER BY arrival) - 1) AS memory_id, type, key, value, round(confidence, 6) AS confidence, false AS is_update FROM s WHERE turn_number % 4 <> 1",
+    "retrieve_basic_priority_topk": """SELECT user_id, rank, memory_id, type, round(s, 6) AS retrieval_score FROM (SELECT m.user_id, m.memory_id, m.type, s, row_number() OVER (PARTITION BY m.user_id ORDER BY s DESC, branch, m.memory_id) AS rank
+        FROM m JOIN (SELECT memory_id, max(s) AS s, min(branch) AS branch FROM (SELECT * FROM bs UNION ALL SELECT memory_id, 0.7::DOUBLE, 3 FROM bytype WHERE type = 'entity' AND rn <= 10 AND memory_id NOT IN (SELECT memory_id FROM bs)) GROUP BY memory_id) USING (memory_id)
+        WHERE coalesce(superseded_by, '') IN ('', 'None')) WHERE rank <= 50""",
+    "retrieve_payload_topk": f"""SELECT {_R} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY retrieval_score DESC, branch, memory_id) AS rank FROM
+        (SELECT *, 0.3::DOUBLE * semantic_score + 0.4::DOUBLE * type_score + 0.1::DOUBLE * recency_score + 0.05::DOUBLE * frequency_score + 0.15::DOUBLE * confidence AS retrieval_score FROM
+        (SELECT m.user_id, m.memory_id, m.type, semantic_score, branch, {_PRIORITY} AS type_score, exp(-0.001::DOUBLE * greatest(0, now - turn_number)) AS recency_score, confidence, CASE WHEN there THEN superseded_by END AS superseded_by,
+         CASE WHEN there THEN 0.4::DOUBLE * least(1.0::DOUBLE, access_count / 20.0::DOUBLE) + 0.6::DOUBLE * exp(-0.05::DOUBLE * greatest(0, now - last_accessed_turn)) * least(1.0::DOUBLE, access_count / 20.0::DOUBLE) ELSE 0.0::DOUBLE END AS frequency_score
+         FROM (SELECT *, turn_number % 6 <> 0 AS there FROM m) m JOIN pc USING (user_id, memory_id))) WHERE coalesce(superseded_by, '') IN ('', 'None')) WHERE rank <= 50""",
     "semantic_dedup_candidates": f"SELECT label, id, other_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rank FROM (SELECT label, id, other_id, {_COS} AS score FROM (SELECT x1.label, x1.id, x2.id AS other_id, x1.v AS a, x2.v AS b FROM ev x1 JOIN ev x2 ON x1.label = x2.label AND x2.id < x1.id)) WHERE score >= 0.25) WHERE rank <= 5",
     "hybrid_candidates": "SELECT user_id, memory_id, round(semantic_score, 6) AS semantic_score, branch FROM c",
     "rank_5_signal": "SELECT user_id, memory_id, round(type_score, 6) AS type_score, round(recency_score, 6) AS recency_score, round(frequency_score, 6) AS frequency_score, round(retrieval_score, 6) AS retrieval_score FROM r5",
@@ -151,24 +198,26 @@ FINAL = {
         WHERE turn_number >= first AND (turn_number - first) % 50 = 0""",
     "promotion": "SELECT user_id, memory_id, file, section, line FROM p",
     "core_memory_render": "SELECT user_id, file, '## ' || section || chr(10) || string_agg(line, chr(10) ORDER BY arrival DESC) AS body FROM p GROUP BY user_id, file, section",
-    "statistics": "SELECT user_id, count(*) AS total, count(DISTINCT type) AS types, CAST(sum(mention_count) AS BIGINT) AS mentions, count(*) FILTER (superseded_by IS NOT NULL) AS superseded FROM m GROUP BY user_id",
+    "statistics": """SELECT user_id, total, types, mentions, superseded, by_type, total AS vector_count FROM (SELECT user_id, count(*) AS total, count(DISTINCT type) AS types, CAST(sum(mention_count) AS BIGINT) AS mentions, count(*) FILTER (superseded_by IS NOT NULL) AS superseded FROM m GROUP BY user_id)
+        JOIN (SELECT user_id, string_agg(type || '=' || n, ',' ORDER BY type || '=' || n) AS by_type FROM (SELECT user_id, type, count(*) AS n FROM m GROUP BY ALL) GROUP BY user_id) USING (user_id)""",
     "memories_by_type": "SELECT user_id, type, string_agg(memory_id, ',' ORDER BY memory_id) AS ids FROM m GROUP BY user_id, type",
     "turn_log_summary": "SELECT t.user_id, count(*) AS turns, CAST(sum(coalesce(k, 0)) AS BIGINT) AS extracted, round(avg(coalesce(k, 0)), 6) AS average FROM t LEFT JOIN (SELECT user_id, turn_number, count(*) AS k FROM s GROUP BY ALL) USING (user_id, turn_number) GROUP BY t.user_id",
-    "eval_context_precision": "SELECT user_id, n_found, coalesce(k, 0) AS n_matched, round(coalesce(k, 0) / n_found, 6) AS precision FROM (SELECT user_id, count(*) AS n_found FROM f GROUP BY user_id) LEFT JOIN (SELECT user_id, count(DISTINCT memory_id) AS k FROM mt GROUP BY user_id) USING (user_id)",
-    "eval_context_recall": "SELECT user_id, n_truth, coalesce(k, 0) AS n_matched, round(coalesce(k, 0) / n_truth, 6) AS recall FROM (SELECT user_id, count(*) AS n_truth FROM tr GROUP BY user_id) LEFT JOIN (SELECT user_id, count(DISTINCT id) AS k FROM mt GROUP BY user_id) USING (user_id)",
-    "eval_mrr_topk": "SELECT user_id, count(*) AS n_truth, round(avg(coalesce(1.0::DOUBLE / place, 0.0::DOUBLE)), 6) AS mrr, count(*) FILTER (place <= 1) AS found_1, count(*) FILTER (place <= 3) AS found_3, count(*) FILTER (place <= 5) AS found_5, count(*) FILTER (place <= 10) AS found_10 FROM tr LEFT JOIN (SELECT user_id, id, min(rank) AS place FROM mt GROUP BY ALL) USING (user_id, id) GROUP BY user_id",
-    "eval_distance_sweep": "SELECT d AS distance, count(*) AS n_truth, count(mt.id) AS n_found FROM tr JOIN now USING (user_id) JOIN (SELECT unnest([5, 10, 25, 50]) AS d) ON abs(turn_number - (now - d)) <= 2 LEFT JOIN (SELECT DISTINCT user_id, id FROM mt) mt ON mt.user_id = tr.user_id AND mt.id = tr.id GROUP BY d",
+    "eval_context_precision": "SELECT user_id, n_found, n_matched, round(precision, 6) AS precision FROM ep",
+    "eval_context_recall": "SELECT user_id, n_truth, n_matched, round(recall, 6) AS recall FROM er",
+    "eval_mrr_topk": "SELECT user_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mrr", "avg_position", "top_1", "top_3", "top_5", "top_10")) + " FROM eq",
+    "eval_distance_sweep": "SELECT user_id, distance, expected, found, round(recall, 6) AS recall FROM ed",
     "eval_decay": "SELECT count(*) FILTER (new_confidence IS NULL) AS deleted, count(*) FILTER (new_confidence < confidence) AS decayed, round(avg(confidence - new_confidence) FILTER (new_confidence < confidence), 6) AS average_loss FROM dc",
-    "eval_merge": """, live AS (SELECT * FROM m WHERE coalesce(superseded_by, '') IN ('', 'None')),
-lp AS (SELECT * FROM mp WHERE a_id IN (SELECT memory_id FROM live) AND b_id IN (SELECT memory_id FROM live)),
+    "eval_merge": """, lp AS (SELECT * FROM mp),
 after AS (SELECT user_id, type, key, 0 AS merged FROM live WHERE memory_id NOT IN (SELECT a_id FROM lp UNION SELECT b_id FROM lp)
           UNION ALL SELECT user_id, type, CASE WHEN bc > ac THEN bk ELSE ak END, 1 FROM lp),
 af AS (SELECT user_id, count(*) AS n, CAST(sum(merged) AS BIGINT) AS merged, count(*) - count(DISTINCT (type, left(lower(key), 20))) AS duplicates FROM after GROUP BY user_id)
 SELECT b.user_id, b.n AS total_before, coalesce(af.n, 0) AS total_after, coalesce(merged, 0) AS merged, coalesce(duplicates, 0) AS duplicates_remaining, b.n - coalesce(af.n, 0) AS reduction
 FROM (SELECT user_id, count(*) AS n FROM live GROUP BY user_id) b LEFT JOIN af USING (user_id)""",
     "eval_duplicates": "SELECT user_id, CAST(count(*) - count(DISTINCT (type, left(lower(key), 20))) AS BIGINT) AS duplicates, count(*) AS n FROM s GROUP BY user_id",
-    "eval_promotion": "SELECT x2.user_id, count(*) AS n_expected, CAST(sum(CASE WHEN contains(coalesce(core, ''), key) THEN 1 ELSE 0 END) AS BIGINT) AS n_promoted FROM (SELECT * FROM m WHERE mention_count >= 2) x2 LEFT JOIN (SELECT user_id, string_agg('## ' || section || chr(10) || line, chr(10)) AS core FROM p GROUP BY user_id) USING (user_id) GROUP BY x2.user_id",
-    "eval_suite": "SELECT round(avg(coalesce(k, 0) / n_truth), 6) AS recall FROM (SELECT user_id, count(*) AS n_truth FROM tr GROUP BY user_id) LEFT JOIN (SELECT user_id, count(DISTINCT id) AS k FROM mt GROUP BY user_id) USING (user_id)",
+    "eval_promotion": """SELECT x2.user_id, count(*) AS n_expected, CAST(sum(hit) AS BIGINT) AS n_promoted, round(avg(hit), 6) AS rate FROM
+        (SELECT user_id, CAST(EXISTS (SELECT 1 FROM doc WHERE doc.user_id = m.user_id AND contains(lower(doc.body), lower(m.key))) AS INT) AS hit FROM m WHERE mention_count >= 2) x2 GROUP BY x2.user_id""",
+    "eval_suite": """SELECT 'context_precision.precision' AS metric, round(avg(precision), 6) AS value FROM ep UNION ALL SELECT 'context_recall.recall', round(avg(recall), 6) FROM er UNION ALL SELECT 'ranking.mrr', round(avg(mrr), 6) FROM eq
+        UNION ALL SELECT 'ranking.avg_position', round(avg(avg_position), 6) FROM eq UNION ALL SELECT 'distance.recall', round(avg(recall), 6) FROM ed""",
     "replay_turns": "SELECT user_id, type, key, memory_id, value, round(confidence, 6) AS confidence, mention_count FROM m1",
 }
 STEPS += f", cs AS ({score('(SELECT role, text FROM conversations)')})\n"

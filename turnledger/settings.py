@@ -80,6 +80,11 @@ class Settings:
     min_confidence: float = 0.6
     boost: float = 0.1
     max_confidence: float = 0.95
+    semantic: bool = True
+    signals: int = 5
+    semantic_dedup: bool = True
+    #: Accesses that one turn counts for a memory it retrieves: with vectors retrieval and prompt count one each.
+    turn_accesses: int = 2
     semantic_limit: int = 100
     min_semantic: float = 0.1
     recency_limit: int = 50
@@ -104,6 +109,11 @@ class Settings:
     merge_threshold: float = 0.85
     merge_length: int = 500
     merge_mode: str = "intended"
+    merge_enabled: bool = True
+    merge_rows: int = 1000
+    merge_limit: int = 5
+    promote_enabled: bool = True
+    consolidation_enabled: bool = True
     consolidation_every: int = 50
     consolidation_least: int = 10
     decay_enabled: bool = False

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: What users say, by the number of the event: at least one line for each family of patterns. {n} is a small number.
@@ -32,6 +35,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode alone a temporary one."""
+    sc = spark.sparkContext
+    if configured := sc.getConf().get("spark.checkpoint.dir"):
+        return configured.rstrip("/")
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    made = f"file://{tempfile.mkdtemp(prefix='turns-')}"
+    sc.setCheckpointDir(made)
+    return made
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once for all that reads it, also after the loss of an executor."""
+    path = f"{shared_dir(df.sparkSession)}/turns-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, event_id, event_type, turn_number, text: one row a message."""
     return spark.sql(TURNS_SQL.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
