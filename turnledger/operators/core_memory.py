@@ -5,14 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..settings import PROMOTION_TARGET
+from ..settings import DOCUMENT_TITLES, PROMOTION_TARGET
 
 
 def templates(users: DataFrame, date: str) -> DataFrame:
-    """The empty documents of each user: title, date, one section."""
-    rows = [(f, k, s) for k, (f, s) in enumerate(PROMOTION_TARGET.values())]
-    made = users.sparkSession.createDataFrame(rows, "file string, place int, section string")
-    return users.select("user_id").distinct().join(F.broadcast(made)).withColumn("updated", F.lit(date))
+    """The empty documents of each user: user_id, file, place, title, section, updated."""
+    made = [F.struct(F.lit(f).alias("file"), F.lit(k).alias("place"), F.lit(DOCUMENT_TITLES[f]).alias("title"), F.lit(s).alias("section")) for k, (f, s) in enumerate(PROMOTION_TARGET.values())]
+    return users.select("user_id").distinct().select("user_id", F.inline(F.array(*made))).withColumn("updated", F.lit(date))
+
+
+def whole(templates_: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """user_id, file, body: each document as it is read and written, with its title, the date of its last update, and its section's lines."""
+    rows = templates_
+    if lines is None:
+        rows = rows.withColumn("l", F.array().cast("array<struct<pos:int,line:string>>"))
+    else:
+        own = lines.groupBy("user_id", "file", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+        rows = rows.join(own, ["user_id", "file", "section"], "left").withColumn("l", F.coalesce("l", F.array().cast(own.schema["l"].dataType)))
+    head = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n**Last Updated:** "), F.col("updated"), F.lit("\n\n## "), F.col("section"), F.lit("\n"))
+    text = F.concat(head, F.concat_ws("", F.transform("l.line", lambda x: F.concat(x, F.lit("\n")))), F.lit("\n"))
+    return rows.select("user_id", "file", text.alias("body"))
+
+
+def touched(templates_: DataFrame, before: DataFrame, after: DataFrame, date: str) -> DataFrame:
+    """The templates with the date of the documents whose fields an update changed; lines that were added do not count."""
+    by = ["user_id", "file", "section", "pos"]
+    changed = before.join(after.withColumnRenamed("line", "new"), by).where("line != new").select("user_id", "file").distinct().withColumn("__new", F.lit(date))
+    return templates_.join(changed, ["user_id", "file"], "left").withColumn("updated", F.coalesce("__new", "updated")).drop("__new")
+
+
+def edited(documents: DataFrame, file: str, section: str, field: str, value: str, date: str) -> DataFrame:
+    """Documents (user_id, file, body) with a field set where it stands: the first line that starts with it in the first section whose head holds the name; the date follows.
+
+    Documents without the section or the field stay as they are.
+    """
+    start = f"- **{field}:**"
+    lines = F.split("body", "\n")
+    head = lambda x: x.startswith("## ") & F.contains(x, F.lit(section))
+    # state of a walk over the lines: inside (in the section), done, and the lines so far
+    step = lambda a, x: F.struct(
+        F.when(x.startswith("##"), head(x)).otherwise(a["inside"]).alias("inside"),
+        (a["done"] | (a["inside"] & x.startswith(start))).alias("done"),
+        F.concat(a["out"], F.array(F.when(a["inside"] & x.startswith(start) & ~a["done"], F.lit(f"{start} {value}")).otherwise(x))).alias("out"),
+    )
+    walked = F.aggregate(lines, F.struct(F.lit(False).alias("inside"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out")), step)
+    dated = F.transform(walked["out"], lambda x: F.when(x.startswith("**Last Updated:**"), F.lit(f"**Last Updated:** {date}")).otherwise(x))
+    body = F.when((F.col("file") == file) & walked["done"], F.array_join(dated, "\n")).otherwise(F.col("body"))
+    return documents.select("user_id", "file", body.alias("body"))
+
+
+def path_of(root: str, user: str, file: str) -> str:
+    """Where a document lies."""
+    return f"{root.rstrip('/')}/{user}/{file}"
+
+
+def write_documents(documents: DataFrame, root: str) -> None:
+    """Writes documents to ``root``/user/file through Spark's file system, each in the task that has it."""
+    rows = documents.select(F.col("user_id").cast("string").alias("user"), "file", "body")
+    rows.write.mode("overwrite").partitionBy("user", "file").text(root)
 
 
 def appended(lines: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,6 +102,10 @@ def joined(documents: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown files below ``path``/user/ as user_id, file, body."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("body"))
-    return files.select(F.element_at(F.split("p", "/"), -2).alias("user_id"), F.element_at(F.split("p", "/"), -1).alias("file"), "body")
+    """Markdown files below ``path``/user/, or documents as ``write_documents`` leaves them, as user_id, file, body."""
+    written = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("body"))
+    part = lambda name: F.regexp_extract("p", rf"/{name}=([^/]+)/", 1)
+    keyed = written.where(part("file") != "")
+    plain = written.where((part("file") == "") & F.col("p").endswith(".md"))
+    laid = keyed.select(part("user").alias("user_id"), part("file").alias("file"), F.regexp_replace("body", r"\n\z", "").alias("body"))
+    return laid.unionByName(plain.select(F.element_at(F.split("p", "/"), -2).alias("user_id"), F.element_at(F.split("p", "/"), -1).alias("file"), "body"))

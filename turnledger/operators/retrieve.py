@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..settings import DEFAULT, PROMPT_ORDER, TYPE_PRIORITY, Settings
+from ..settings import CORE_HEAD, DEFAULT, PROMPT_ORDER, RETRIEVED_HEAD, TYPE_PRIORITY, Settings
 from .store import active, recent
 
 
@@ -109,7 +109,14 @@ def prompt(rows: DataFrame) -> DataFrame:
     return whole.select("user_id", F.concat_ws("\n\n", F.col("s.body")).alias("prompt"))
 
 
+def whole_prompt(core: DataFrame, rows: DataFrame) -> DataFrame:
+    """user_id, context: the core memory (user_id, core) and the retrieved memories, each under its head, where there are any."""
+    both = core.join(prompt(rows), "user_id", "full")
+    part = lambda head, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{head}\n\n"), F.col(c)))
+    return both.select("user_id", F.concat_ws("\n\n", part(CORE_HEAD, "core"), part(RETRIEVED_HEAD, "prompt")).alias("context"))
+
+
 def active_memories(rows: DataFrame) -> DataFrame:
     """What a turn reports of each retrieved memory; the access of this turn counts already."""
-    content = F.concat_ws(" ", "key", "value")
+    content = F.concat(F.coalesce("key", F.lit("unknown")), F.lit(": "), F.coalesce("value", F.lit("")))
     return rows.select("user_id", "rank", "memory_id", content.alias("content"), "type", F.col("turn_number").alias("origin_turn"), "now", "confidence", "mention_count", (F.col("access_count") + 1).alias("access_count"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.model_stage import ASK
-from ..settings import KEYWORDS, MODIFIERS, PATTERNS, PROMOTION_TARGET, SPECIFIC, TYPE_PRIORITY, UPDATES
+from ..settings import CORE_HEAD, DOCUMENT_TITLES, KEYWORDS, MODIFIERS, PATTERNS, PROMOTION_TARGET, RETRIEVED_HEAD, SPECIFIC, TYPE_PRIORITY, UPDATES
 from ..sources.conversations import DUCK_RANGE, batch_sql, sweep_sql
 from ..sources.tables import TURNS_SQL
 
@@ -187,7 +187,7 @@ FINAL = {
     "format_prompt": r"""SELECT user_id, string_agg(body, chr(10) || chr(10) ORDER BY section) AS prompt FROM (SELECT user_id, section, '=== ' || upper(type) || ' ===' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS body
         FROM (SELECT *, list_position(['constraint', 'instruction', 'preference', 'entity', 'commitment', 'fact', 'event'], type) AS section,
         '- ' || key || ': ' || value || ' [turn ' || turn_number || ', ' || CAST(round_even(confidence * 100, 0) AS INT) || '% confident]' AS line FROM top5) GROUP BY user_id, section, type) GROUP BY user_id""",
-    "active_memories": "SELECT user_id, rank, memory_id, concat_ws(' ', key, value) AS content, type, turn_number AS origin_turn, now, round(confidence, 6) AS confidence, mention_count, access_count + 1 AS access_count FROM top5",
+    "active_memories": "SELECT user_id, rank, memory_id, key || ': ' || value AS content, type, turn_number AS origin_turn, now, round(confidence, 6) AS confidence, mention_count, access_count + 1 AS access_count FROM top5",
     "decay": "SELECT memory_id, round(decay, 6) AS decay, round(new_confidence, 6) AS new_confidence, new_confidence < 0.05 AS deleted FROM dc",
     "merge_pairs": "SELECT user_id, a_id, b_id FROM mp",
     "merged_record": """SELECT user_id, 'merged_' || left(md5(a_id || '_' || b_id || '_' || now), 8) AS memory_id, CASE WHEN bc > ac THEN bk ELSE ak END AS key,
@@ -218,8 +218,12 @@ FROM (SELECT user_id, count(*) AS n FROM live GROUP BY user_id) b LEFT JOIN af U
         (SELECT user_id, CAST(EXISTS (SELECT 1 FROM doc WHERE doc.user_id = m.user_id AND contains(lower(doc.body), lower(m.key))) AS INT) AS hit FROM m WHERE mention_count >= 2) x2 GROUP BY x2.user_id""",
     "eval_suite": """SELECT 'context_precision.precision' AS metric, round(avg(precision), 6) AS value FROM ep UNION ALL SELECT 'context_recall.recall', round(avg(recall), 6) FROM er UNION ALL SELECT 'ranking.mrr', round(avg(mrr), 6) FROM eq
         UNION ALL SELECT 'ranking.avg_position', round(avg(avg_position), 6) FROM eq UNION ALL SELECT 'distance.recall', round(avg(recall), 6) FROM ed""",
-    "replay_turns": "SELECT user_id, type, key, memory_id, value, round(confidence, 6) AS confidence, mention_count FROM m1",
+    "core_documents": "SELECT user_id, file, '# ' || title || chr(10) || chr(10) || '**Last Updated:** 2024-01-01' || chr(10) || chr(10) || '## ' || section || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY arrival DESC), '') || chr(10) AS body FROM (SELECT DISTINCT user_id FROM m) JOIN (VALUES "
+        + ", ".join(f"({_q(f)}, {_q(DOCUMENT_TITLES[f])}, {_q(sec)})" for f, sec in PROMOTION_TARGET.values()) + ") AS v(file, title, section) ON true LEFT JOIN (SELECT user_id, file, line, arrival FROM p) USING (user_id, file) GROUP BY user_id, file, title, section",
+    "replay_keyed": "SELECT user_id, type, key, memory_id, value, round(confidence, 6) AS confidence, mention_count FROM m1",
 }
+FINAL["prompt_context"] = f"""SELECT user_id, concat_ws(chr(10) || chr(10), {_q(CORE_HEAD)} || chr(10) || chr(10) || core, {_q(RETRIEVED_HEAD)} || chr(10) || chr(10) || prompt) AS context
+        FROM ({FINAL["core_memory_prompt"]}) FULL JOIN ({FINAL["format_prompt"]}) USING (user_id)"""
 STEPS += f", cs AS ({score('(SELECT role, text FROM conversations)')})\n"
 ORACLE_SQL = {name: STEPS + final for name, final in FINAL.items()}
 ORACLE_SQL |= {"generated_conversations": batch_sql(DUCK_RANGE), "generated_sweep": sweep_sql(DUCK_RANGE)}

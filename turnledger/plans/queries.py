@@ -12,9 +12,12 @@ from ..operators import consolidate, core_memory, evaluate, extract, model_stage
 from ..settings import DEFAULT
 from ..sources import conversations as made
 from ..sources.tables import from_conversations, stored, table, turns
-from ..streaming.replay import replayed
+from ..streaming.replay import processed, replayed, turn_stats
+from ..system import log_summary, turn_log
 
 SETTINGS = replace(DEFAULT, priority_types=("entity",), decay_age=20, decay_idle=10, decay_rate=0.05, promote_mentions=2, promote_age=10, merge_threshold=0.3)
+#: For runs over few turns: what decays and is promoted is younger than by default.
+RUNS = replace(SETTINGS, decay_enabled=True, dedup_threshold=0.8, merge_threshold=0.4, consolidation_every=10, consolidation_least=5)
 
 
 def r6(name: str):
@@ -99,10 +102,19 @@ def found(spark, d) -> DataFrame:
     return top(spark, d).select("user_id", "memory_id", "type", "key", "value", "rank", "now")
 
 
-def documents(spark, d) -> DataFrame:
+def core_lines(spark, d) -> DataFrame:
     p = stored(consolidate.promotable(aged(spark, d), SETTINGS), "promotable")
     none = p.where("false").select("user_id", "file", "section", "line", F.lit(0).alias("pos"))
-    return core_memory.rendered(core_memory.appended(none, p.select("user_id", "file", "section", F.col("arrival").alias("at"), "line")))
+    return core_memory.appended(none, p.select("user_id", "file", "section", F.col("arrival").alias("at"), "line"))
+
+
+def documents(spark, d) -> DataFrame:
+    return core_memory.rendered(core_lines(spark, d))
+
+
+def sessions(s, d, fold):
+    """All turns through a whole session each, with the arrivals of the first two stages."""
+    return fold(turns(s, d), stored(arrivals(s, d), "arrivals"), vectors.hashing_embedder, RUNS)
 
 
 def answers(spark, d) -> DataFrame:
@@ -126,7 +138,7 @@ def consolidation_due(s, d):
     return consolidate.needs_consolidation(t)
 
 
-def turn_log(s, d):
+def log_of_extraction(s, d):
     n = arrivals(s, d).groupBy("user_id", "turn_number").agg(F.count(F.lit(1)).alias("k"))
     t = turns(s, d).join(n, ["user_id", "turn_number"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     return t.groupBy("user_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("k").alias("extracted"), F.round(F.avg("k"), 6).alias("average"))
@@ -288,11 +300,20 @@ QUERIES = {
     "core_memory_prompt": lambda s, d: core_memory.joined(documents(s, d)),
     "statistics": statistics,
     "memories_by_type": lambda s, d: memories(s, d).groupBy("user_id", "type").agg(F.concat_ws(",", F.array_sort(F.collect_list("memory_id"))).alias("ids")),
-    "turn_log_summary": turn_log,
+    "turn_log_summary": log_of_extraction,
     "stage_merge": lambda s, d: extract.merged_stages(stage_rows(s, d)).withColumn("confidence", F.round("confidence", 6)),
     "llm_prompt": prompts,
     "llm_parse": lambda s, d: model_stage.parsed(answers(s, d)).withColumn("confidence", F.round("confidence", 6)),
-    "replay_turns": lambda s, d: replayed(arrivals(s, d)).select("user_id", "type", "key", "memory_id", "value", r6("confidence"), "mention_count"),
+    "replay_keyed": lambda s, d: replayed(arrivals(s, d)).select("user_id", "type", "key", "memory_id", "value", r6("confidence"), "mention_count"),
+    "replay_turns": lambda s, d: replayed(arrivals(s, d), vectors.hashing_embedder, RUNS).select("user_id", "type", "key", "memory_id", "value", r6("confidence"), "mention_count", "superseded_by"),
+    "process_turns": lambda s, d: sessions(s, d, processed).withColumn("confidence", F.round("confidence", 6)).withColumn("decay_applied", F.round("decay_applied", 6)),
+    "turn_stats": lambda s, d: sessions(s, d, turn_stats),
+    "turn_log": lambda s, d: turn_log(sessions(s, d, turn_stats)).withColumn("conversation_turns", F.to_json("conversation_turns")),
+    "log_summary": lambda s, d: log_summary(sessions(s, d, turn_stats)),
+    "consolidation_run": lambda s, d: consolidate.run(aged(s, d), RUNS, stored=stored)[2],
+    "merged_store": lambda s, d: consolidate.merged_store(aged(s, d), RUNS).withColumn("confidence", F.round("confidence", 6)),
+    "core_documents": lambda s, d: core_memory.whole(core_memory.templates(memories(s, d), "2024-01-01"), core_lines(s, d)),
+    "prompt_context": lambda s, d: retrieve.whole_prompt(core_memory.joined(documents(s, d)), top(s, d)),
     "eval_context_precision": lambda s, d: evaluate.context_precision(found(s, d), truth(s, d)).withColumn("precision", F.round("precision", 6)),
     "eval_context_recall": lambda s, d: evaluate.context_recall(found(s, d), truth(s, d)).withColumn("recall", F.round("recall", 6)),
     "eval_mrr_topk": lambda s, d: evaluate.ranking_quality(found(s, d), truth(s, d)).select("user_id", *map(r6, ("mrr", "avg_position", "top_1", "top_3", "top_5", "top_10"))),

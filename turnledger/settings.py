@@ -67,6 +67,10 @@ PROMOTION_TARGET = {
     "entity": ("CORE.md", "Identity"), "preference": ("PREFERENCES.md", "General Preferences"),
     "constraint": ("CONSTRAINTS.md", "Hard Constraints"), "instruction": ("INSTRUCTIONS.md", "Communication Style"),
 }
+DOCUMENT_TITLES = {
+    "CORE.md": "Core Identity", "PREFERENCES.md": "User Preferences", "CONSTRAINTS.md": "Constraints & Limitations", "INSTRUCTIONS.md": "Instructions & Guidelines",
+}
+CORE_HEAD, RETRIEVED_HEAD = "### CORE MEMORY (Always Active)", "### LONG-TERM MEMORY (Retrieved)"
 
 
 @dataclass(frozen=True)

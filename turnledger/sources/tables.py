@@ -49,6 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once for all that reads it, also after the loss of an executor."""
     path = f"{shared_dir(df.sparkSession)}/turns-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
