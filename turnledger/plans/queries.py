@@ -17,7 +17,7 @@ from ..system import log_summary, turn_log
 
 SETTINGS = replace(DEFAULT, priority_types=("entity",), decay_age=20, decay_idle=10, decay_rate=0.05, promote_mentions=2, promote_age=10, merge_threshold=0.3)
 #: For runs over few turns: what decays and is promoted is younger than by default.
-RUNS = replace(SETTINGS, decay_enabled=True, dedup_threshold=0.8, merge_threshold=0.4, consolidation_every=10, consolidation_least=5)
+RUNS = replace(SETTINGS, decay_enabled=True, dedup_threshold=0.8, consolidation_every=10, consolidation_least=5)
 
 
 def r6(name: str):
