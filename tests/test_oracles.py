@@ -41,7 +41,7 @@ def test_query(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_without_sql(spark, name):
+def test_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
