@@ -16,8 +16,10 @@
    exact sizes of all intersections. Links are taken to components there, so
    what leaves a chunk is at most a row a class. Groups of one chunk are done
    with that. In larger ones the classes that did not come to the first one's
-   component are compared with every other chunk; what a hot group has linked
-   already is not compared again.
+   component go on: those whose buckets are all small are compared within their
+   buckets, so the work of a group that hangs together by chance is that of its
+   buckets; those with a bucket of more than a chunk are compared with every
+   other chunk of their group. What a hot group has linked is not compared again.
 5. The components of all links follow in DataFrames.
 
 Links are confirmed on the full sets of words. Nothing of it is collected to the driver.
@@ -293,7 +295,7 @@ def links(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """
     spread = classes.select("class", F.explode("buckets").alias("bucket"))
     spread = written(spread, "near-buckets")
-    many = spread.groupBy("bucket").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    many = spread.groupBy("bucket").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ties = spread.join(many, "bucket").where(F.col("class") != F.col("first")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     group = components(ties).withColumnRenamed("node", "class").withColumnRenamed("label", "grp")
     group = written(group, "near-candidates")
@@ -312,11 +314,25 @@ def links(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     found = compared(sized.unionByName(heads), percent)
     if large.isEmpty():
         return found
-    # what has not come to the component of the group's first class meets all chunks
+    # what has not come to the component of the group's first class goes on
     part = components(found)
     large_rows = sized.where("chunks > 1").join(part, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class")).drop("node")
     large_rows = written(large_rows, "near-large-rows")
-    rest = large_rows.where(F.col("label") != F.col("grp"))
+    rest = written(large_rows.where(F.col("label") != F.col("grp")).select("grp", "class").distinct(), "near-rest")
+    if rest.isEmpty():
+        return found
+    # where its buckets are small it meets those of its buckets, whichever the group; sets of classes that several buckets share once
+    held = spread.join(large_rows.groupBy("class").agg(F.max("n").alias("n")), "class")
+    big = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where((F.col("size") > CHUNK_CLASSES) | (F.col("total") > CHUNK_WORDS))
+    wide = spread.join(big.where("size > 1").select("bucket"), "bucket").join(rest, "class").select("class").distinct()
+    wide = written(wide, "near-wide")
+    narrow = spread.join(rest.join(wide, "class", "left_anti").select("class"), "class", "left_semi").select("bucket").distinct()
+    sets = spread.join(narrow, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_set("class")).alias("classes")).where("size(classes) > 1")
+    sets = sets.groupBy("classes").agg(F.min("bucket").alias("grp")).select("grp", F.explode("classes").alias("class"))
+    sets = sets.join(own.select("class", "sha", "words"), "class").withColumn("p", F.lit(0)).withColumn("q", F.lit(-2))
+    found = found.unionByName(compared(sets, percent))
+    # where one is wide it meets all chunks of its group
+    rest = large_rows.join(wide, "class", "left_semi")
     count = rest.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES), F.ceil(F.sum("n") / CHUNK_WORDS)).cast("int").alias("parts"))
     rest = rest.join(count, "grp").withColumn("q", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("parts")).cast("int"))
     rest = rest.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("parts")
