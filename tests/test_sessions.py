@@ -14,8 +14,9 @@ from turnledger.evaluation import whole_suite
 from turnledger.operators import consolidate, core_memory, evaluate, extract, model_stage, retrieve, vectors
 from turnledger.plans import queries
 from turnledger.settings import DEFAULT
-from turnledger.sources.tables import stored
+from turnledger.sources.tables import environment, read, stored
 from turnledger.streaming import replay
+from turnledger.system import latencies
 
 SF = "/root/testdata/sf0.001"
 STATE = "spark.sql.streaming.stateStore.providerClass"
@@ -363,3 +364,15 @@ def test_system(spark, tmp_path):
     assert {r.vector_count for r in basic.statistics().collect()} == {None}
     system.clear()
     assert system.memories.count() == 0 and system.statistics().count() == 0
+
+
+def test_files_and_times(spark, tmp_path):
+    text = "# keys\nexport A_KEY='x y'\nB=2 # two\nB=3\nEMPTY=\nnot a line\n"
+    assert environment(text) == {"A_KEY": "x y", "B": "3", "EMPTY": ""}
+    (tmp_path / "c.json").write_text(json.dumps({"conversation_id": "7", "turns": [{"turn": 1, "message": "hi"}]}))
+    one = read(spark, str(tmp_path / "c.json"), "json", "conversation_id string, turns array<struct<turn:int,message:string>>", multiLine=True).first()
+    assert one.conversation_id == "7" and one.turns[0].message == "hi"
+    log = spark.createDataFrame([(1, float(k), 2.0 * k) for k in range(1, 101)], "user_id long, storage_time_ms double, retrieval_time_ms double")
+    by = {r.stage: r for r in latencies(log).collect()}
+    assert (by["storage"].median, by["storage"].p95, by["retrieval"].p99, by["retrieval"].mean, by["storage"].most) == (50.0, 95.0, 198.0, 101.0, 100.0)
+    assert len(core_memory.templates(spark.range(1).withColumnRenamed("id", "user_id")).first().updated) == 10

