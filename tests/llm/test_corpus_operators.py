@@ -285,6 +285,23 @@ def test_minhash_at_another_threshold(spark):
         assert [minhash.distinct_documents(spark, docs, p).count() for p in (85, 80, 70)] == [[2, 1, 1], [2, 2, 1]][k]
 
 
+@pytest.mark.parametrize("chunk", [1024, 6, 2])
+def test_groups_that_hang_together_by_chance(spark, monkeypatch, chunk):
+    """A chain of documents, each like the next alone, many of them below the threshold: no link is lost however the group is cut."""
+    monkeypatch.setattr(minhash, "CHUNK_CLASSES", chunk)
+    rng = np.random.default_rng(14)
+    words = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(60):
+        for at in rng.integers(0, 80, int(rng.integers(1, 4))):
+            words[at] = f"n{k}x{at}"
+        rows.append((int(rng.integers(0, 1 << 40)), " ".join(words)))
+    rows += [(k, " ".join([*words[:79], f"v{k}"])) for k in range(20)]
+    sets, label = near(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label and 5 < len(set(label.values())) < 70
+
+
 def thue_morse(flip):
     return "".join("ab"[(k.bit_count() + flip) & 1] for k in range(4096))
 
@@ -319,6 +336,19 @@ def test_components(spark):
     assert got == {k: 0 for k in range(31)} | {100: 100, 101: 100}
 
 
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(7)
+    for n, m in ((40, 25), (200, 190), (60, 200)):
+        edges = [tuple(map(int, e)) for e in rng.integers(0, n, (m, 2))]
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {k: label[k] for e in edges if e[0] != e[1] for k in e}
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
@@ -583,7 +613,7 @@ def test_secret_edges(spark, docs, rows):
 
 
 def test_dictionary_and_letter_pairs(spark):
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(["Red house red", "a red-house RED", "red, house. x1y", None, ""])], "doc_id long, text string")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["Red house red", "a red house, RED", "(House, red x1y x1y", "x1y x2y house,", None, ""])], "doc_id long, text string")
     words = secrets.dictionary(df, 2)
     assert {r.entry for r in words.collect()} == {"red", "house"}
     pairs = secrets.letter_pairs(words)

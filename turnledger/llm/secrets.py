@@ -49,8 +49,13 @@ BENIGN = (
 #: Parts of values and paths that stand for no real credential.
 PLACEHOLDER = r"(?i)(your|example|sample|dummy|placeholder|change_?me|xxx|test|foo|bar|null|none|redacted|\*\*\*|<[a-z_ -]+>|\$\{|\{\{|1234)"
 TESTS = r"(?i)(^|[^a-z])(tests?|examples?|fixtures?|samples?|mocks?|docs?|demo)([^a-z]|$)"
-#: What makes a word of a text worth a look.
-SHAPE = r"[0-9][^A-Za-z]*[A-Za-z]|[A-Za-z][^0-9A-Za-z]*[0-9]|[a-z][A-Z]|[A-Za-z]{" + str(WORD_LETTERS + 1) + r"}|://[^/@]+:[^/@]+@|^-----BEGIN$"
+#: What every key word of KEY holds one of, in lower case.
+KEY_PARTS = ("token", "secret", "passw", "passphrase", "pwd", "key", "auth", "bearer", "credential")
+#: What makes a word of a text worth a look. Symbols are listed one by one, as such a class is far cheaper than a range or its complement.
+SYMBOLS = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]*+"
+SHAPE = (
+    "[0-9]" + SYMBOLS + "[A-Za-z]|[A-Za-z]" + SYMBOLS + "[0-9]|[a-z][A-Z]|(?<![A-Za-z])[A-Za-z]{" + str(WORD_LETTERS + 1) + "}|://[^/@]+:[^/@]+@|-----BEGIN"
+)
 RUN = r"[A-Za-z0-9+/_=\-]+"
 SAME_WORD = KEY + r"[A-Za-z0-9_\-]*[\"'`\])]*(?:=>|:=|==|=|:)[\"'`(]*([^\"'`]+)"
 LAST_WORDS = KEY + r"[A-Za-z0-9_\-]*[\"'`\])]*\x20?(?:=>|:=|==|=|:|\x20is|\x20was)\x20$|(?i:bearer|basic)\x20$"
@@ -68,7 +73,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, path, line, l of the lines that may hold a candidate."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), text_or_empty().alias("text"))
-    may = lambda c: c.rlike(SHAPE.replace("|^-----BEGIN$", "|-----BEGIN")) | c.rlike(KEY)
+    keyed = lambda c: reduce(lambda x, y: x | y, [F.contains(F.lower(c), F.lit(k)) for k in KEY_PARTS])
+    may = lambda c: c.rlike(SHAPE) | keyed(c)
     lines = own.where(may(F.col("text"))).select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     return lines.where(may(F.col("l")))
 
@@ -93,7 +99,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     runs = F.filter(F.regexp_extract_all("w", F.lit(RUN), F.lit(0)), lambda r: r.rlike(SHAPE))
     as_one = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
     found = (
-        F.when(F.col("w") == "-----BEGIN", F.when(head.rlike("PRIVATE KEY"), as_one("pem", F.regexp_extract(head, r"(-----BEGIN.*?-----)", 1))))
+        F.when(F.col("w").startswith("-----BEGIN"), F.when(head.rlike("PRIVATE KEY"), as_one("pem", F.regexp_extract(head, r"(-----BEGIN.*?-----)", 1))))
         .when(F.col("w").rlike(URL), as_one("url", F.regexp_extract("w", URL, 1)))
         .when(same != "", as_one("assigned", same))
         .when(F.col("last").rlike(LAST_WORDS) & ~F.col("w").rlike(r"^[=:]+>?$"), as_one("assigned", bare))
@@ -106,10 +112,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, least: int = MIN_TEXTS) -> DataFrame:
-    """entry: the words of letters, standing alone, that occur in ``least`` texts or more, over all texts."""
-    parts = F.array_distinct(F.split(F.lower(text_or_empty()), r"[^a-z0-9_/+=@\-]+"))
-    words = docs.select(F.explode(parts).alias("entry")).where(F.col("entry").rlike("^[a-z]{3,%d}$" % WORD_LETTERS))
-    return words.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("entry")
+    """entry: the words of letters of which some form, as it stands between white space, occurs in ``least`` texts or more, over all texts."""
+    forms = docs.select(F.explode(F.array_distinct(F.split(text_or_empty(), SPACE))).alias("form"))
+    forms = forms.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    bare = F.lower(F.regexp_extract("form", r"^[\"'`(\[{<]*([A-Za-z]{3,%d})[\"'`)\]}>.,;:!?]*$" % WORD_LETTERS, 1))
+    return forms.select(bare.alias("entry")).where("entry != ''").distinct()
 
 
 def letter_pairs(words: DataFrame) -> dict[str, float]:
