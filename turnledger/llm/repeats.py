@@ -378,21 +378,21 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     same_gram = Window.partitionBy("h").orderBy("c0", "c1", "id", "lo")
     context = F.struct("c0", "c1")
     near = found.withColumns({"prior": F.lag(context).over(same_gram), "next": F.lead("c0").over(same_gram)})
-    near = near.where("prior is not null or next is not null or size(more_id) > 0")
-    near = near.withColumn("first", ~F.col("prior").eqNullSafe(context)).drop("prior", "next", "c0", "c1")
+    # how many different contexts a minimiser has is told where its rows are together anyway
+    near = near.withColumn("first", ~F.col("prior").eqNullSafe(context))
+    near = near.withColumn("contexts", F.sum(F.col("first").cast("int")).over(Window.partitionBy("h")))
+    near = near.where("prior is not null or next is not null or size(more_id) > 0").drop("prior", "next", "c0", "c1")
     near = written(near, "repeats-contexts")
     whole = near.where("not first").select("id", "lo", "n").unionByName(
         near.where("size(more_id) > 0").select(F.inline(F.arrays_zip("more_id", "more_lo")), "n").select(F.col("more_id").alias("id"), F.col("more_lo").alias("lo"), "n")
     ).select("id", F.col("lo").alias("s"), "n")
-    reps = near.where("first").select("h", "id", "lo", "n", "place")
-    several = reps.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    reps = reps.join(several, "h")
+    reps = near.where("first and contexts > 1").select("h", "id", "lo", "n", "place", "contexts")
     wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "lo", "n", "place")).alias("wanted"))
     wanted = written(wanted, "repeats-wanted")
     if wanted.isEmpty():
         return whole
     cut = texts.select("id", "text").join(wanted.hint("shuffle_hash"), "id").mapInArrow(cut_out, CUT)
-    hot = written(several.where(F.col("contexts") > MERGE_CONTEXTS).select(F.col("h").alias("hot")), "repeats-hot")
+    hot = written(reps.where(F.col("contexts") > MERGE_CONTEXTS).select(F.col("h").alias("hot")).distinct(), "repeats-hot")
     if not hot.isEmpty():
         cut, folded = split_hot(written(cut, "repeats-cut"), hot)
         whole = whole.unionByName(folded)
