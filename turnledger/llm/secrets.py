@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
+from .quality_rules import let
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Letters that plain words have at most.
@@ -158,7 +159,10 @@ def featured(found: DataFrame, pairs: dict[str, float]) -> DataFrame:
     rate = lambda pattern: F.size(F.regexp_extract_all(kinds, F.lit(pattern), F.lit(0))) / steps
     # of adjacent letters, each pair once
     table = F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv]) if pairs else F.create_map(F.lit(""), F.lit(0.0))
-    two = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(lower) - 1, F.lit(1))), lambda i: F.substring(lower, i, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
+    # the letters are bound once, so a very long value takes no more than a step for each of them
+    chars = F.filter(F.split(lower, ""), lambda c: c != "")
+    adjacent = let(chars, lambda own: F.transform(own, lambda c, i: F.concat(c, F.coalesce(F.get(own, i + 1), F.lit("")))))
+    two = F.filter(adjacent, lambda p: p.rlike("^[a-z]{2}$"))
     likely = F.aggregate(two, F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(table, p), F.lit(-4.0)))
     longest = F.array_max(F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z]+"), F.lit(0)), lambda run: F.length(run)))
     inside = F.replace(F.col("around"), value, F.lit(" "))
