@@ -53,7 +53,7 @@ SEGMENT = 1 << 22
 CHUNK_SYMBOLS = 60_000
 SHARDS = 4
 #: Different contexts of one minimiser that are merged as they are; those of a larger one are split first.
-MERGE_CONTEXTS = 8_000
+MERGE_CONTEXTS = 1_000
 LAST = (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(10)
